@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, quality, simhash
+from . import decontaminate, exact_dedup, language_id, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -29,10 +29,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op4_content_sort, op5_simhash, op7_wu_manber, op8_packing, op10_boosted_trees)}
+QUERIES = {f.__name__: f for f in (op2_ppm, op4_content_sort, op5_simhash, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
 
 ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE}

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters look for words of fixed lexicons, for patterns, and for stems that go with toxic labels in the
-bounded training sample. None of them is trusted: a generative model of their votes, with a
+Voters look for words of fixed lexicons, for patterns, and for stems that go with toxic labels in a
+bounded training sample; the annotation of a sampled document is one more vote. None is trusted: a generative model of their votes, with a
 hidden label, estimates how accurate each is and which of them are correlated given the label, and
 gives each sampled document a posterior. A logistic classifier on word and stem features is then trained on
 these posteriors and scores whole texts.
@@ -10,7 +10,6 @@ these posteriors and scores whole texts.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +33,22 @@ PATTERNS = {
     "attack": r"\b(?:you|you're|u) (?:are |r )?(?:so |such |an? |all )*(?:stupid|idiots?|dumb|trash|pathetic|worthless)\b",
     "hate": r"\bi hate (?:you|them|those)\b|\bshut up\b",
 }
-#: Features are hashed to this many numbers; so many of them may enter voters and classifier.
-HASHED, MOST_FEATURES, INDUCED_VOTERS = 1 << 20, 3_000, 6
+#: Of the features in the sample, so many may enter voters and classifier.
+MOST_FEATURES, INDUCED_VOTERS, LEAST_Z = 3_000, 6, 3.0
 EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
 
-def features_of(word: str) -> tuple[int, ...]:
-    """Hashed features of a word: itself and, if it is longer, its first four and five letters."""
-    parts = [f"w {word}"] + [f"{n} {word[:n]}" for n in (4, 5) if len(word) >= n]
-    return tuple(zlib.crc32(p.encode()) % HASHED for p in parts)
+LISTED = {w: f"@{name}" for name, words in LEXICONS.items() for w in words}
+
+
+def features_of(word: str) -> list[str]:
+    """Features of a word: itself, its first four and five letters, and the lexicon that lists it."""
+    found = ["=" + word, word[:4]]
+    if len(word) > 4:
+        found.append(word[:5])
+    if word in LISTED:
+        found.append(LISTED[word])
+    return found
 
 
 def distinct_words(text: str | None) -> set[str]:
@@ -57,7 +63,7 @@ def fixed_votes(text: str | None, words: set[str]) -> int:
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(label, fixed votes, feature numbers with how many words have each) of the sampled documents."""
+    """(doc_id, label, fixed votes, features of each distinct word) of the sampled documents."""
 
     def run(batches):
         for batch in text_chunks(batches, 2, 2_000_000):
@@ -66,11 +72,11 @@ def sample_features(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
                 words = distinct_words(text)
                 votes.append(fixed_votes(text, words))
                 found.append([f for w in words for f in features_of(w)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "votes", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "votes", "features"])
 
     sample = labelled_sample(docs, labels, "toxic", rows).select("doc_id", "label", "text")
     kind = sample.schema["doc_id"].dataType.simpleString()
-    return sample.mapInArrow(run, f"doc_id {kind}, label double, votes int, features array<int>")
+    return sample.mapInArrow(run, f"doc_id {kind}, label double, votes int, features array<string>")
 
 
 class LabelModel:
@@ -134,10 +140,10 @@ class LabelModel:
 
 @dataclass
 class Classifier:
-    """Logistic regression over hashed features: a text's margin is the sum over its distinct words."""
+    """Logistic regression over word features: a text's margin is the sum over its distinct words."""
 
     bias: float
-    weights: dict[int, float]
+    weights: dict[str, float]
 
     def __post_init__(self):
         self.cache: dict[bytes, float] = {}
@@ -158,7 +164,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(margin, -30.0), 30.0))))
 
 
-def train_linear(rows: list[np.ndarray], target: np.ndarray, width: int, ridge: float = 0.5, steps: int = 300) -> tuple[float, np.ndarray]:
+def train_linear(rows: list[np.ndarray], target: np.ndarray, width: int, ridge: float = 0.03, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with soft targets: rows are lists of feature numbers, each one word more."""
     if not len(rows):
         return 0.0, np.zeros(width)
@@ -185,35 +191,32 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     sizes = {r["label"] > 0: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positive, negative = sizes.get(True, 0), sizes.get(False, 0)
     seen = sample.select("label", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.sum((F.col("label") > 0).cast("int")).alias("p"), F.count("*").alias("n"))
-    # How far the share of toxic documents with the feature lies from what chance would give.
+    # How far the number of toxic documents with the feature lies from what chance would give.
     share = positive / max(1, positive + negative)
     spread = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1.0)
-    seen = seen.where("n >= 4").withColumn("z", spread)
+    seen = seen.where("n >= 3").withColumn("z", spread).where(F.abs("z") >= LEAST_Z)
     chosen = seen.orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).toPandas()
-    number = {f: i for i, f in enumerate(chosen["feature"].tolist())}
-    toxic = chosen[(chosen["z"] > 6) & (chosen["p"] >= 0.7 * chosen["n"])]["feature"].tolist()
+    number = {f: i for i, f in enumerate(sorted({*chosen["feature"], *LISTED.values()}))}
+    toxic = chosen[(chosen["z"] > 0) & (chosen["p"] >= 0.8 * chosen["n"])]["feature"].tolist()
     induced = {f: i % INDUCED_VOTERS for i, f in enumerate(toxic)}
-
-    voters = len(LEXICONS) + len(PATTERNS)
-    votes, inputs = [], []
-    keep = F.array_intersect("features", F.lit(list(number)).cast("array<int>")) if number else F.array().cast("array<int>")
-    kept = sample.select("doc_id", "votes", F.filter("features", lambda f: F.array_contains(keep, f)).alias("features")) if False else sample.select("doc_id", "votes", "features")
-    for row in kept.orderBy("doc_id").toLocalIterator():
-        mine = [f for f in row["features"] if f in number]
-        bits = row["votes"]
-        for f in mine:
-            if f in induced:
-                bits |= 1 << voters + induced[f]
-        votes.append(bits)
-        inputs.append(np.array([number[f] for f in mine], np.int64))
-    voters += INDUCED_VOTERS
-    patterns, which, weight = np.unique(np.array(votes, np.int64), return_inverse=True, return_counts=True)
+    fixed = 1 + len(LEXICONS) + len(PATTERNS)
+
+    def reduce(batches):
+        for batch in batches:
+            votes, kept = [], []
+            for label, bits, found in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = [f for f in found if f in number]
+                votes.append((label > 0) | bits << 1 | sum(1 << fixed + k for k in {induced[f] for f in mine if f in induced}))
+                kept.append([number[f] for f in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int32()), pa.array(kept, pa.list_(pa.int32()))], ["votes", "features"])
+
+    kept = sample.select("label", "votes", "features").mapInArrow(reduce, "votes int, features array<int>").toPandas()
+    voters = fixed + INDUCED_VOTERS
+    inputs = [np.array(x, np.int64) for x in kept["features"]]
+    patterns, which, weight = np.unique(kept["votes"].to_numpy(np.int64), return_inverse=True, return_counts=True)
     matrix = (patterns[:, None] >> np.arange(voters) & 1).astype(float)
     if not len(patterns):
-        model = Classifier(-3.0, {})
-        lexicon = {w for words in LEXICONS.values() for w in words}
-        model.weights = {features_of(w)[0]: 4.0 for w in sorted(lexicon)}
-        return model
+        return Classifier(-3.0, dict.fromkeys(LISTED.values(), 4.0))
     target = LabelModel(voters).fit(matrix, weight.astype(float)).posterior(matrix)[which]
     bias, w = train_linear(inputs, target, max(1, len(number)))
     return Classifier(bias, {f: float(w[i]) for f, i in number.items() if w[i]})

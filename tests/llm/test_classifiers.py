@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cloakwork.llm import language_id, quality
+from cloakwork.llm import language_id, quality, toxicity
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -100,3 +100,35 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_label_model_learns_accuracies_and_ties():
+    rng = np.random.default_rng(5)
+    n, y = 20_000, None
+    y = rng.random(n) < 0.2
+    votes = np.stack([np.where(y, rng.random(n) < hit, rng.random(n) < false) for hit, false in ((0.8, 0.02), (0.6, 0.05), (0.7, 0.01), (0.5, 0.03))], axis=1)
+    votes = np.column_stack([votes, votes[:, 1] ^ (rng.random(n) < 0.02)])  # the last voter copies the second
+    patterns, which, weight = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = toxicity.LabelModel(5).fit(patterns.astype(float), weight.astype(float))
+    assert (1, 4) in model.factors
+    assert abs(model.prior - 0.2) < 0.02
+    posterior = model.posterior(patterns.astype(float))[which.ravel()]
+    assert ((posterior > 0.5) == y).mean() > 0.95
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted and r.toxic for r in got) >= 0.85 * sum(r.toxic for r in got)
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * len(got)
+
+
+def test_toxicity_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "fine words " * 50_000), (4, "you stupid idiot, you pathetic loser"), (4, "calm"), (None, "no id")]
+    docs = spark.createDataFrame([(d, t, 9.0, "l") for d, t in rows], "doc_id long, text string, score double, label string")
+    labels = spark.createDataFrame([(1, 1, None), (3, 0, 0), (3, 0, 0), (None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    unlearned = toxicity.toxicity(docs, labels.limit(0)).collect()
+    assert {r.doc_id for r in unlearned if r.predicted} == {4}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
