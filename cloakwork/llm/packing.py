@@ -13,13 +13,14 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_chunks
 
-CACHED_WORDS = 500_000
+CACHED_WORDS, ENCODED_AT_ONCE = 800_000, 20_000
 
 
 class Encoder:
@@ -28,35 +29,60 @@ class Encoder:
     A text is looked up word by word, each word with the blank before it: the vocabulary's
     pre-tokeniser always starts a new piece at a single blank between two non-blanks, so the ids are the
     same as for the whole text. Where a text has any other white space beside a blank, it is
-    encoded whole.
+    encoded whole. Words that are not known yet are encoded as one text and told apart by their offsets.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, processors
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # an offset then has its blank
         self.words: dict[str, bytes | None] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"" for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.firsts: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in ".,;:!?"}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            part = words[at : at + ENCODED_AT_ONCE]
+            found = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            ends = np.array([end for _, end in found.offsets])
+            cuts = (4 * np.searchsorted(ends, starts, side="right")).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.words.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+
+    def _meet(self, new: set[str]) -> None:
+        """Makes all words of ``new`` known; None stands for one that has other white space at an end."""
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        # A letter and a mark after it are always in different pieces.
+        marked = {w for w in new - odd if w[-1] in ".,;:!?" and w[-2:-1].isalpha()}
+        self._learn(list(((new - odd - marked) | {w[:-1] for w in marked}).difference(self.words)))
+        self.words.update((w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        self.words.update(dict.fromkeys(odd))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) + len(self.firsts) > CACHED_WORDS:
             self.words.clear()
+            self.firsts.clear()
         split = [t.split(" ") for t in texts]
-        new = {w for words in split for w in words[1:]}.difference(self.words)
-        self.words.update((w, None) for w in new if not w or w[0].isspace() or w[-1].isspace())
-        new = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
-        self.words.update(zip(new, self.whole([" " + w for w in new])))
-        firsts = self.whole([words[0] for words in split])
-        get = self.words.get
-        for text, words, first in zip(texts, split, firsts):
-            ids = list(map(get, words))
-            ids[0] = first
-            if len(ids) > 1 and (not words[0] or words[0][-1].isspace() or None in ids):
-                yield self.whole([text])[0]
-            else:
+        known, firsts = self.words, self.firsts
+        self._meet({w for words in split for w in words[1:] if w not in known})
+        for text, words in zip(texts, split):
+            first = words[0]
+            if first not in firsts:
+                firsts[first] = self.whole(first)
+            if len(words) > 1 and (not first or first[-1].isspace()):
+                yield self.whole(text)
+                continue
+            ids = list(map(known.get, words))
+            ids[0] = firsts[first]
+            try:
                 yield b"".join(ids)
+            except TypeError:  # None is among them
+                yield self.whole(text)
 
 
 _encoders: dict[str, Encoder] = {}  # one for each Python worker, not for each task
@@ -68,7 +94,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     def run(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         end = end_id.to_bytes(4, "little")
-        for batch in text_chunks(batches, 1, 4_000_000):
+        for batch in text_chunks(batches, 1, 1_000_000):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, encoded in enumerate(encoder.encode([t.as_py() or "" for t in batch.column(1)])):
                 encoded += end

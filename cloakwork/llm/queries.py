@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, quality, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, language_model, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -37,6 +41,6 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op4_content_sort, op5_simhash, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
+QUERIES = {f.__name__: f for f in (op2_ppm, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
 
 ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE}
