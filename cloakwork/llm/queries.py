@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, quality, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
+def op1_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
+QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
 
 ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE}
