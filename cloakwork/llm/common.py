@@ -55,6 +55,11 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(divisor)).cast("int")
 
 
+def schema_of(docs: DataFrame, columns: list[str]) -> str:
+    """The DDL of some columns, for a function over Arrow batches that passes them on."""
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def text_chunks(batch_iter, text_at: int, most_bytes: int):
     """Cuts Arrow batches into row ranges of about ``most_bytes`` of text, so that a worker's
     memory follows the longest text and not the number of rows."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, schema_of
 
 #: A-Z to a-z; digits, a-z and bytes of other characters stay; all else separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -64,7 +64,7 @@ def searches(items: list[Row], window: int) -> list[Search]:
     return [Search(n, found) for n, found in sorted(by_length.items())]
 
 
-def _scan(rows: DataFrame, items: list[Row], window: int) -> DataFrame:
+def _scan(rows: DataFrame, items: list[Row], window: int, kept: list[str]) -> DataFrame:
     """Adds what the given items hit to the columns hits and items of rows."""
     shared = rows.sparkSession.sparkContext.broadcast(searches(items, window))
 
@@ -81,13 +81,13 @@ def _scan(rows: DataFrame, items: list[Row], window: int) -> DataFrame:
                 hits.append(sorted(at.union(old_hits.as_py())))
                 found.append(sorted(of.union(old_items.as_py())))
             new = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *new], ["doc_id", "text", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "n_words", "hits", "items"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, {FOUND}")
+    return rows.mapInArrow(run, f"{schema_of(rows, kept)}, {FOUND}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
-    """One row per input row: doc_id, text, n_words, hits (indexes of hit words), items (ids as text).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, text, n_words, hits (indexes of hit words), items (ids as text), and ``carry``.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A
     window is ``window`` consecutive words of an item, or all words of an item with fewer. A null or
@@ -101,10 +101,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     benchmark = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    kept = ["doc_id", "text", *(c for c in carry if c not in ("doc_id", "text"))]
+    rows = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
         items = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        before, rows = rows, _scan(rows, items, window)
+        before, rows = rows, _scan(rows, items, window, kept)
         if blocks > 1:
             rows = materialise(rows, "scanned")
             if k:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_chunks
+from .common import remainder, schema_of, text_chunks
 
 ORDER = 3
 #: At most about so many documents of a language teach its tree.
@@ -142,8 +142,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     return Trees({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in counts.groupby("lang")})
 
 
-def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+def identify(docs: DataFrame, trees: Trees, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score of every row: the language with the shortest code, its posterior share.
+    The columns in ``carry`` come along.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned. Equal codes
     go to the language that sorts first. Repeated rows appear as often as they come in; other columns
@@ -163,14 +164,16 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 best = bits.argmin(axis=1)
                 pred[known] = names[best]
                 score[known] = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            along = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*along, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    kept = ["doc_id", *carry]
+    docs = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
+    return docs.mapInArrow(run, f"{schema_of(docs, kept)}, lang_pred string, score double")
 
 
-def language_id(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the rows that aren't held out (remainder 2 of 4)."""
+def language_id(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and ``carry``; learned from the rows that aren't held out (remainder 2 of 4)."""
     trees = learn(docs.where(F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False))), sample_docs)
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
-    return identify(docs, trees).select("doc_id", held_out, "lang_pred", "score")
+    return identify(docs, trees, carry).select("doc_id", held_out, "lang_pred", "score", *carry)

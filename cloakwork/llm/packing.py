@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_chunks
 
-CACHED_WORDS, ENCODED_AT_ONCE = 800_000, 20_000
+CACHED_WORDS, ENCODED_AT_ONCE = 1_400_000, 20_000
 
 
 class Encoder:
@@ -69,7 +69,7 @@ class Encoder:
             self.firsts.clear()
         split = [t.split(" ") for t in texts]
         known, firsts = self.words, self.firsts
-        self._meet({w for words in split for w in words[1:] if w not in known})
+        self._meet(set().union(*split).difference(known))
         for text, words in zip(texts, split):
             first = words[0]
             if first not in firsts:
