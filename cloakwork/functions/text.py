@@ -78,7 +78,7 @@ def _code(name: Column) -> Column:
 
 
 def check_letter(partial: Column) -> Column:
-    """The control letter of the first fifteen characters of a tax code."""
+    """The control letter of the first fifteen characters of a tax code; letters at even places count from 10."""
     even = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
     chars = F.filter(F.split(partial, ""), lambda c: c != "")
     values = F.transform(chars, lambda c, i: F.coalesce(F.when(i % 2 == 0, lookup(seeds.ODD_VALUES, c)).otherwise(lookup(even, c)), F.lit(0)))

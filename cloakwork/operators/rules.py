@@ -109,8 +109,8 @@ def snap(spans: Column, text: Column) -> Column:
         inside = cut(text, start, start + 1).rlike(f"[{WORD}]")
         # A word is rarely longer than a window; the whole text is looked at only where it fills one.
         near = cut(text, F.greatest(start - 64, F.lit(0)), start)
-        left = length(near, f"[{WORD}]*$")
-        left = F.when(left < 64, left).otherwise(length(cut(text, F.lit(0), start), f"[{WORD}]*$"))
+        left = length(near, rf"[{WORD}]*\z")
+        left = F.when(left < 64, left).otherwise(length(cut(text, F.lit(0), start), rf"[{WORD}]*\z"))
         start = start - F.when(inside, left).otherwise(0)
         return F.transform(F.array(F.struct(start.alias("start"), end.alias("end"))), lambda p: finish(s, p["start"], p["end"]))[0]
 
