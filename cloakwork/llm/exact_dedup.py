@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPLITTER_CHARS = 24
+
+
 def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = 0.001) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -35,11 +38,14 @@ def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = 0.001) ->
     rows = rows.join(F.broadcast(frequent), "h", "left")
 
     sha = F.sha2(F.encode("text", "UTF-8"), 256)
-    same = Window.partitionBy("text")
+    # Splitters are sampled to the driver, so they are the beginning of a text and, where many begin alike, its hash;
+    # the window then compares whole texts.
+    start = F.substring("text", 1, SPLITTER_CHARS)
+    same = Window.partitionBy("start", "h", "text")
     cold = (
         rows.where("hot is null")
-        .select("doc_id", "text", "rank")
-        .repartitionByRange("text")
+        .select("doc_id", start.alias("start"), "h", "text", "rank")
+        .repartitionByRange("start", "h")
         .withColumns({"best": F.max("rank").over(same), "group_size": F.count("*").over(same)})
         .select("doc_id", "rank", "best", "group_size", sha.alias("text_sha256"))
     )
