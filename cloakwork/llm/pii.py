@@ -25,7 +25,11 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<![\d(])\(\d{3}\) ?\d{3}[-. ]\d{4}|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4})(?!\d)"
+PHONE = (
+    r"(?<![\d+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}"
+    r"|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"
+    r"|\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3})(?!\d)"
+)
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"
 
 #: In this order, the first that matches at a place takes it.
@@ -118,15 +122,14 @@ def luhn(number: Column) -> Column:
 
 
 def card(value: Column, key: Column) -> Column:
-    """First digit and Luhn sum stay, the digits between are permuted."""
+    """First digit and Luhn check stay, the digits between are permuted; a number that fails the check stays."""
 
     def new(number: Column) -> Column:
         body = F.concat(F.substr(number, F.lit(1), F.lit(1)), permute(F.substr(number, F.lit(2), F.length(number) - 2), 10, key, "card"))
         return _once(body, lambda b: F.concat(b, F.pmod(luhn(number) - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
     number = only(value, "0-9")
-    known = number.rlike("^[3-6]") & (F.length(number) == 16) | (luhn(number) == 0)
-    return F.when(known, _once(_once(number, new), lambda n: put_back(value, n, "0-9"))).otherwise(value)
+    return F.when(luhn(number) == 0, _once(_once(number, new), lambda n: put_back(value, n, "0-9"))).otherwise(value)
 
 
 def mod97(text: Column) -> Column:
@@ -219,7 +222,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     Found are mail addresses (the part before the @), access keys, assigned secrets, IBANs with a valid
     check, IPv4 addresses, calendar dates, social security numbers, telephone numbers and card numbers
-    (valid by Luhn, or sixteen digits that begin like a card). All other text stays as it is. A null text stays null with
+    (valid by Luhn). All other text stays as it is. A null text stays null with
     0 values. Repeated rows appear as often as they come in; other columns are ignored; an empty table gives
     no rows. ``key`` defaults to the session setting spark.cloakwork.pseudonym.key.
     """
