@@ -45,21 +45,22 @@ def bucket_keys(column: str, blocks: int, radius: int) -> list:
     return keys
 
 
-def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between distinct int64 values."""
-    left, edges = values.view(np.uint64), []  # bitwise_count takes the absolute value of signed numbers
+def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links among int64 values, as indexes; trees grow from the first values."""
+    bits = np.ascontiguousarray(values, np.int64).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    left, ends = np.arange(len(bits)), ([], [])
     frontier = left[:0]
     while len(left):
         if not len(frontier):
             frontier, left = left[:1], left[1:]
         here, frontier = frontier[:256], frontier[256:]
-        near = np.bitwise_count(here[:, None] ^ left[None, :]) <= radius
+        near = np.bitwise_count(bits[here][:, None] ^ bits[left][None, :]) <= radius
         reached = near.any(axis=0)
         if reached.any():
-            by = here[near[:, reached].argmax(axis=0)]
-            edges += zip(left[reached].view(np.int64).tolist(), by.view(np.int64).tolist())
+            ends[0].append(left[reached])
+            ends[1].append(here[near[:, reached].argmax(axis=0)])
             frontier, left = np.concatenate([frontier, left[reached]]), left[~reached]
-    return edges
+    return tuple(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
 
 
 def links(fps: DataFrame, radius: int, joined: int = JOINED, gathered: int = GATHERED) -> DataFrame:
@@ -74,7 +75,9 @@ def links(fps: DataFrame, radius: int, joined: int = JOINED, gathered: int = GAT
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v")
 
     def compare(bucket: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest(np.ascontiguousarray(bucket["fp"], np.int64), radius), columns=["u", "v"], dtype="int64")
+        values = bucket["fp"].to_numpy()
+        u, v = forest(values, radius)
+        return pd.DataFrame({"u": values[u], "v": values[v]})
 
     some = keyed.where((F.col("count") > joined) & (F.col("count") <= gathered)).select("key", "fp")
     trees = some.groupBy("key").applyInPandas(compare, "u long, v long")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_chunks
 
-CACHED_WORDS, ENCODED_AT_ONCE = 1_400_000, 20_000
+CACHED_WORDS, ENCODED_AT_ONCE = 1_400_000, 500
 
 
 class Encoder:
@@ -29,14 +29,18 @@ class Encoder:
     A text is looked up word by word, each word with the blank before it: the vocabulary's
     pre-tokeniser always starts a new piece at a single blank between two non-blanks, so the ids are the
     same as for the whole text. Where a text has any other white space beside a blank, it is
-    encoded whole. Words that are not known yet are encoded as one text and told apart by their offsets.
+    encoded whole. Words that are not known yet are encoded as texts of many and told apart by how many bytes
+    each token stands for.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, processors
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # an offset then has its blank
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level vocabulary writes each byte as one character
+            self.bytes_of[i] = len(token)
         self.words: dict[str, bytes | None] = {}
         self.firsts: dict[str, bytes] = {}
         self.marks = {m: self.whole(m) for m in ".,;:!?"}
@@ -45,14 +49,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), ENCODED_AT_ONCE):
-            part = words[at : at + ENCODED_AT_ONCE]
-            found = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            ends = np.array([end for _, end in found.offsets])
-            cuts = (4 * np.searchsorted(ends, starts, side="right")).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.words.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        if not words:
+            return
+        texts = [" " + " ".join(words[i : i + ENCODED_AT_ONCE]) for i in range(0, len(words), ENCODED_AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        starts = np.cumsum([0] + [len(w.encode()) + 1 for w in words])
+        cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), starts, side="right")).tolist()
+        ids = ids.tobytes()
+        self.words.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def _meet(self, new: set[str]) -> None:
         """Makes all words of ``new`` known; None stands for one that has other white space at an end."""
