@@ -1,8 +1,10 @@
 """Packing: ids by the tokenizers library, gapless sequences, as few as can be."""
 
+import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -73,3 +75,14 @@ def test_plan_places_each_piece_once(seed):
             end += n
         assert end <= capacity
     assert len(fill) <= -(-sum(n * c for n, c in counts.items()) // capacity) * 1.25 + sum(c for n, c in counts.items() if 2 * n > capacity)
+
+
+def test_encoder_gives_the_ids_of_the_tokenizers_library():
+    encoder = packing.Encoder(PATH)
+    rng = random.Random(1)
+    symbols = " \n\t 　ab'stre.,;0９²éßñ漢字😀́\x00\x1c\x85"
+    texts = ["".join(rng.choice(symbols) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|> b", " " * 50_000 + "x", "ab " * 20_000, "x" * 100_000]
+    for text in texts:
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
