@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: Symbols permuted together; a longer run is cut into pieces of so many.
 PIECE = 16
+#: Digits of a card number.
+LEAST_CARD, MOST_CARD = 13, 19
 #: The session setting that holds the key; list it in spark.redaction.regex where plans are logged.
 KEY_SETTING = "spark.cloakwork.pseudonym.key"
 
@@ -23,18 +25,19 @@ PREFIXED_KEY = r"(?<![A-Za-z0-9])(?:sk|pk|rk|gh[pousr])[-_][A-Za-z0-9_]{20,}"
 ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key|apikey|auth)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{6,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
-DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\d/-]|\.\d)"
+DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = (
     r"(?<![\d+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}"
     r"|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"
     r"|\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3})(?!\d)"
 )
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"
+#: A run of groups of digits, in which ``pieces`` looks for cards; it ends where a date, an SSN or a telephone number begins.
+CARD = rf"(?<![\d.-])\d(?:(?:-| (?!{DATE}|{SSN}|{PHONE}))?\d){{12,198}}(?![\d]|[.-]\d)"
 
 #: In this order, the first that matches at a place takes it.
 FORMATS = {"email": EMAIL, "access_key": ACCESS_KEY, "prefixed_key": PREFIXED_KEY, "assigned": ASSIGNED, "iban": IBAN, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
-ANY = "|".join(f"(?:{p})" for p in FORMATS.values() if p != DATE).replace(r"\1", "") + "|" + DATE
+ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 
 
 def _hash(key: Column, tweak: Column, i: Column, half: Column) -> Column:
@@ -129,7 +132,29 @@ def card(value: Column, key: Column) -> Column:
         return _once(body, lambda b: F.concat(b, F.pmod(luhn(number) - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
     number = only(value, "0-9")
-    return F.when(luhn(number) == 0, _once(_once(number, new), lambda n: put_back(value, n, "0-9"))).otherwise(value)
+    return F.when((F.length(number) >= LEAST_CARD) & (luhn(number) == 0), _once(_once(number, new), lambda n: put_back(value, n, "0-9"))).otherwise(value)
+
+
+def pieces(run: Column) -> Column:
+    """The groups of a run of digits, those of a card as one: from the left, each time as many groups as pass Luhn."""
+    groups = F.split(run, "(?=[ -])")
+
+    def cut(g: Column) -> Column:
+        part = lambda i, e: F.array_join(F.slice(g, i, e - i + 1), "")
+
+        def valid(i: Column, e: Column) -> Column:
+            number = only(part(i, e), "0-9")
+            return F.when(F.length(number).between(LEAST_CARD, MOST_CARD), luhn(number) == 0).otherwise(False)
+
+        def step(s: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(F.least(F.size(g), i + MOST_CARD - 1), i, F.lit(-1)), lambda e: valid(i, e))
+            add = lambda e: F.struct(F.concat(s["pieces"], F.array(part(i, e))).alias("pieces"), (e + 1).alias("next"))
+            return F.when(i < s["next"], s).otherwise(_once(F.coalesce(F.get(ends, F.lit(0)), i), add))
+
+        start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step)["pieces"]
+
+    return _once(groups, cut)
 
 
 def mod97(text: Column) -> Column:
@@ -229,9 +254,10 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     key = F.lit(key or spark.conf.get(KEY_SETTING, "unkeyed"))
     found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), 0).alias("found"))
-    new = F.transform("found", lambda v: pseudonym(v, key))
+    parts = F.transform("found", lambda v: F.when(v.rlike(f"^(?:{CARD})$"), pieces(v)).otherwise(F.array(v)))
+    new = F.transform(parts, lambda p: F.transform(p, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))
     replaced = found.select("doc_id", "text", "found", F.when(F.size("found") > 0, new).alias("new"))
     gaps = F.split("text", ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, "new", lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    rebuilt = F.array_join(F.zip_with(gaps, "new", lambda gap, v: F.concat(gap, F.coalesce(F.array_join(v["new"], ""), F.lit("")))), "")
+    changed = F.size(F.filter(F.flatten("new"), lambda v: v["old"] != v["new"]))
     return replaced.select("doc_id", F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"), F.when(F.size("found") > 0, changed).otherwise(0).cast("long").alias("n_values"))
