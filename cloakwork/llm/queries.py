@@ -18,7 +18,7 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), similarity=0.8, radius=3)
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
