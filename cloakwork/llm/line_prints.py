@@ -28,6 +28,9 @@ LEAST_WORDS, LEAST_GRAMS = 2, 3
 #: How much longer a similar line may be, with some allowance for blanks, which a level doesn't count.
 LONGER = 1.3
 
+#: Words of a line up to which its SimHash is counted in bit planes.
+MANY = 256
+
 #: Digits, a-z and bytes of other characters stay; all else separates words.
 KEEP = np.array([b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 WORD_BASE, CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -149,11 +152,33 @@ def identities(data: bytes):
     return line, check, size, last > first, (kept, starts, ends, chars, first, last, line_of, hashes, letters)
 
 
+def simhashes(parts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of the words of SHORTEST bytes or more of each line, and whether it tells anything: not for short or unspaced lines."""
+    _, starts, ends, _, first, last, line_of, hashes, letters = parts
+    long = np.flatnonzero(ends - starts >= SHORTEST)
+    words = mix(hashes[long])
+    first, last = np.searchsorted(long, first), np.searchsorted(long, last)
+    sizes = last - first
+    out = np.zeros(len(first), U)
+    few = np.flatnonzero(sizes <= MANY)
+    out[few] = _majorities(words, first[few], sizes[few])
+    for i in np.flatnonzero(sizes > MANY).tolist():
+        ones = sum(np.unpackbits(words[k : min(k + 65_536, last[i])].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(first[i], last[i], 65_536))
+        out[i] = np.packbits(2 * ones > sizes[i]).view(U)[0]
+    return out, (letters >= GRAMS_TO) & ~_unspaced(parts)
+
+
+def _unspaced(parts: tuple) -> np.ndarray:
+    """Lines that consist of long runs for the most part."""
+    _, starts, ends, chars, first, last, _, _, letters = parts
+    total = np.concatenate([[0], np.cumsum(np.where(ends - starts > LONGEST, chars, 0))])
+    return 2 * (total[last] - total[first]) > letters
+
+
 def block_keys(parts: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(line number, key) of every block of every line that ``identities`` has found."""
-    kept, starts, ends, chars, first, last, line_of, hashes, letters = parts
-    long_chars = np.concatenate([[0], np.cumsum(np.where(ends - starts > LONGEST, chars, 0))])
-    unspaced = 2 * (long_chars[last] - long_chars[first]) > letters
+    kept, starts, ends, _, _, _, line_of, hashes, letters = parts
+    unspaced = _unspaced(parts)
     by_word = (letters >= WORDS_FROM) & ~unspaced
     by_gram = (letters >= LEAST_CHARS) & ((letters < GRAMS_TO) | unspaced)
 
