@@ -11,19 +11,20 @@ A text's language is the one whose tree gives it the shortest code.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, schema_of, text_chunks
+from .common import remainder, text_chunks
 
 ORDER = 3
 #: At most about so many documents of a language teach its tree.
 SAMPLE_DOCS = 1_500
-#: The contexts of full order that the tables keep, the most frequent ones; others use a byte less.
-MOST_CONTEXTS = 24_000
+#: Bytes of text that are scored at once.
+CHUNK = 300_000
 
 
 def _folded(text: str | None) -> bytes:
@@ -35,7 +36,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each run of ORDER + 1 bytes, as an integer, occurs in whole texts."""
 
     def run(batches):
-        for batch in text_chunks(batches, 1, 4_000_000):
+        for batch in text_chunks(batches, 1, 500_000):
             grams = defaultdict(list)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = np.frombuffer(b"\n" * (ORDER - 1) + _folded(text.as_py()), np.uint8).astype(np.int64)
@@ -51,79 +52,100 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Lookup:
+    """The positions of 64-bit keys, by open addressing; vectorised both ways."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.at[slot[free]] = keys[left[free]], left[free]  # the last of those that want a slot has it
+            lost = self.at[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where a key isn't there."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        found = np.where(held == keys, self.at[slot], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (1 << self.bits) - 1
+            held = self.keys[slot]
+            same = held == keys[left]
+            found[left[same]] = self.at[slot[same]]
+            on = ~same & (held >= 0)
+            left, slot = left[on], slot[on]
+        return found
+
+
 class Trees:
-    """Code lengths in bits, tabulated: ``cost[state * symbols + symbol]`` is a row with one column per language."""
+    """Code lengths in bits, tabulated, one column per language.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], most_contexts: int = MOST_CONTEXTS):
+    ``cost[k]`` has a row for each run of k + 1 bytes that occurs in any language: the whole code length of its last byte after
+    the others. ``escape[k]`` has a row for each context of k bytes: what a byte costs in addition that never followed it.
+    The tables hold every context of the counts and nothing else, so they grow with what was learned from, and not with
+    the number of possible contexts.
+    """
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        grams = np.concatenate([counts[x][0] for x in self.langs]) if counts else np.zeros(0, np.int64)
-        seen = np.unique([x for k in range(ORDER + 1) for x in np.unique(grams >> 8 * k & 255)]).astype(np.int64)
-        # Bytes that no language has seen all cost the same everywhere: they share the last symbol.
-        self.symbols = s = len(seen) + 1
-        self.symbol = np.full(256, s - 1, np.int32)
-        self.symbol[seen] = np.arange(s - 1)
-        self.cost_of = {}
-        per_lang = [self._tensor(*counts[x]) for x in self.langs]
-        # States: the last two symbols, then the chosen contexts of three.
-        total = defaultdict(int)
-        for order3, _ in per_lang:
-            for c, row in order3.items():
-                total[c] += int(row.sum())
-        kept = sorted(sorted(total, key=lambda c: (-total[c], c))[:most_contexts])
-        self.third = np.full(s**3 if s**3 <= 1 << 26 else 0, -1, np.int32)
-        self.kept = np.array(kept, np.int64)
-        if len(self.third):
-            self.third[self.kept] = np.arange(len(kept)) + s * s
-        self.cost = np.empty(((s * s + len(kept)), s, len(self.langs)), np.float32)
-        for j, (order3, low) in enumerate(per_lang):
-            self.cost[: s * s, :, j] = -np.log2(low).reshape(s * s, s)
-            self.cost[s * s :, :, j] = self.cost[self.kept % (s * s), :, j]
-            for i, c in enumerate(kept):
-                if (row := order3.get(c)) is not None:
-                    n, kinds = row.sum(), np.count_nonzero(row)
-                    p = np.where(row > 0, row / (n + kinds), kinds / (n + kinds) * low[c % (s * s)])
-                    self.cost[s * s + i, :, j] = -np.log2(p)
-        self.cost = self.cost.reshape(self.cost.shape[0] * s, len(self.langs))
-
-    def _tensor(self, grams: np.ndarray, n: np.ndarray):
-        """Counts by context of three symbols, and probabilities by context of two."""
-        s = self.symbols
-        at = np.zeros(len(grams), np.int64)
-        for k in range(ORDER, -1, -1):
-            at = at * s + self.symbol[grams >> 8 * k & 255]
-        order3: dict[int, np.ndarray] = {}
-        for c, x, m in zip((at // s).tolist(), (at % s).tolist(), n.tolist()):
-            order3.setdefault(c, np.zeros(s))[x] += m
-        p = np.full((1, s), 1 / 256)
-        for order in range(ORDER):
-            counts = np.zeros((s**order, s))
-            np.add.at(counts, (at // s % s**order, at % s), n)
-            total, kinds = counts.sum(1, keepdims=True), np.count_nonzero(counts, axis=1)[:, None]
-            lower = np.tile(p, (s if order else 1, 1))
+        self.cost, self.escape, self.grams, self.contexts = [], [], [], []
+        width = len(self.langs)
+        for k in range(ORDER + 1):
+            ends = [counts[x][0] & (1 << 8 * (k + 1)) - 1 for x in self.langs]
+            grams = np.unique(np.concatenate(ends)) if width else np.zeros(0, np.int64)
+            n = np.zeros((len(grams), width))
+            for j, x in enumerate(self.langs):
+                np.add.at(n[:, j], np.searchsorted(grams, ends[j]), counts[x][1])
+            contexts, of = np.unique(grams >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
+            np.add.at(total, of, n)
+            np.add.at(kinds, of, n > 0)
             with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = np.where(counts > 0, counts / (total + kinds), kinds / (total + kinds) * lower)
-            p = np.where(total > 0, mixed, lower)
-        return order3, p
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                below = 8.0 if k == 0 else self.cost[k - 1][np.searchsorted(before, grams & (1 << 8 * k) - 1)]
+                cost = np.where(n > 0, -np.log2(n / (total + kinds)[of]), escape[of] + below)
+            self.cost.append(cost)
+            self.escape.append(escape)
+            self.grams.append(Lookup(grams))
+            self.contexts.append(Lookup(contexts))
+            before = grams
+        self.cost, self.escape = [[t.astype(np.float32) for t in tables] for tables in (self.cost, self.escape)]
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """Bits of each whole text under each language."""
         parts = [b"\n" * (ORDER - 1) + _folded(t) for t in texts]
         sizes = np.array([len(x) for x in parts])
-        s, data = self.symbols, self.symbol[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int64)
-        pair = data[:-1] * s + data[1:]  # ends at position i + 1
-        triple = data[:-2] * (s * s) + pair[1:]  # ends at position i + 2
-        if len(self.third):
-            state = self.third[triple]
-        else:
-            at = np.minimum(np.searchsorted(self.kept, triple), max(0, len(self.kept) - 1))
-            state = np.where(self.kept[at] == triple, at + s * s, -1) if len(self.kept) else np.full(len(triple), -1)
-        state = np.where(state < 0, pair[1:], state)
-        row = np.concatenate([[0] * ORDER, state[:-1] * s + data[ORDER:]])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        cost = self.cost[row].astype(np.float64)
+        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        run = data.copy()
+        for k in range(1, ORDER + 1):
+            run[k:] |= data[:-k] << 8 * k
+        bits = np.zeros((len(data), len(self.langs)), np.float32)
+        starts = np.cumsum(sizes) - sizes
+        counted = np.ones(len(data), bool)
         for k in range(ORDER):  # what stands before a text isn't part of it
-            cost[starts + k] = 0
-        return np.add.reduceat(cost, starts, axis=0)
+            counted[starts + k] = False
+        left = np.flatnonzero(counted)
+        for k in range(ORDER, -1, -1):
+            code = run[left] & (1 << 8 * (k + 1)) - 1
+            at = self.grams[k].find(code)
+            known = at >= 0
+            bits[left[known]] += self.cost[k][at[known]]
+            left, code = left[~known], code[~known] >> 8
+            at = self.contexts[k].find(code)
+            known = at >= 0
+            bits[left[known]] += self.escape[k][at[known]]
+        bits[left] += 8
+        return np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
@@ -142,38 +164,39 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     return Trees({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in counts.groupby("lang")})
 
 
-def identify(docs: DataFrame, trees: Trees, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score of every row: the language with the shortest code, its posterior share.
-    The columns in ``carry`` come along.
+def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+    """docs with lang_pred and score of every row: the language with the shortest code, its posterior share.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned. Equal codes
     go to the language that sorts first. Repeated rows appear as often as they come in; other columns
-    are ignored, ``lang`` too.
+    are ignored, ``lang`` too. Texts alone go to Python, about CHUNK bytes at once; one long text is taken whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches):
+    def predicted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         trees = shared.value
         names = np.array(trees.langs, object)
-        for batch in text_chunks(batches, 1, 2_000_000):
-            texts = batch.column(1).to_pylist()
-            known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts]) & bool(len(names))
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if known.any():
-                bits = trees.lengths([t for t, k in zip(texts, known) if k])
-                best = bits.argmin(axis=1)
-                pred[known] = names[best]
-                score[known] = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
-            along = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*along, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
-
-    kept = ["doc_id", *carry]
-    docs = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    return docs.mapInArrow(run, f"{schema_of(docs, kept)}, lang_pred string, score double")
+        known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool) & bool(len(names))
+        pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        if known.any():
+            bits = trees.lengths([t for t, k in zip(texts, known) if k])
+            pred[known] = names[bits.argmin(axis=1)]
+            score[known] = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
+        return pred, score
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            batch = pa.RecordBatch.from_arrays([array], ["text"])
+            found = [predicted(part.column(0).to_pylist()) for part in text_chunks([batch], 0, CHUNK)]
+            pred, score = (np.concatenate(x) for x in zip(*found)) if found else ([], [])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return docs.withColumn("_verdict", verdict("text")).withColumns({c: F.col(f"_verdict.{c}") for c in ("lang_pred", "score")}).drop("_verdict")
 
 
 def language_id(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ``carry``; learned from the rows that aren't held out (remainder 2 of 4)."""
+    """doc_id, held_out, lang_pred, score and the columns in ``carry``; learned from the rows that aren't held out (remainder 2 of 4)."""
     trees = learn(docs.where(F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False))), sample_docs)
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
-    return identify(docs, trees, carry).select("doc_id", held_out, "lang_pred", "score", *carry)
+    return identify(docs.select("doc_id", "text", *[c for c in carry if c != "text"]), trees).select("doc_id", held_out, "lang_pred", "score", *carry)

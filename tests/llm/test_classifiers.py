@@ -46,12 +46,35 @@ def plain_length(trees_of, text):
     return bits
 
 
-@pytest.mark.parametrize("most_contexts", [10_000])
-def test_tabulated_code_lengths(spark, most_contexts):
+def test_lookup():
+    rng = np.random.default_rng(9)
+    keys = rng.permutation(np.unique(np.concatenate([np.arange(300), rng.integers(0, 1 << 40, 500)])))
+    table = language_id.Lookup(keys)
+    assert np.array_equal(table.find(keys), np.arange(len(keys)))
+    assert (table.find(np.arange(1 << 41, (1 << 41) + 500)) == -1).all()
+
+
+def test_tabulated_code_lengths(spark, sf):
+    """Every context of the sample counts, on a few words and on whole documents."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and r.lang]
+    learned, texts = {}, []
+    for i, r in enumerate(sorted(docs, key=lambda r: len(r.text))[:90]):
+        if i % 3:
+            learned.setdefault(r.lang, []).append(r.text)
+        else:
+            texts.append(r.text)
+    rows = [(i, t, lang) for lang, own in learned.items() for i, t in enumerate(own)]
+    counts = language_id.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    trees = language_id.Trees({x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in counts.groupby("lang")})
+    want = [[plain_length(learned[x], t) for x in trees.langs] for t in texts[:12]]
+    assert np.allclose(trees.lengths(texts[:12]), want, rtol=1e-5)
+
+
+def test_tabulated_code_lengths_of_few_words(spark):
     learned = {"xx": ["the cat sat", "on the mat", "ça"], "yy": ["abab abba", "the"]}
     rows = [(i, t, lang) for lang, texts in learned.items() for i, t in enumerate(texts)]
     counts = language_id.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
-    trees = language_id.Trees({x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in counts.groupby("lang")}, most_contexts)
+    trees = language_id.Trees({x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in counts.groupby("lang")})
     texts = ["the hat", "abba", "ça va 漢", "zzz", "q" * 500]
     want = [[plain_length(learned[x], t) for x in trees.langs] for t in texts]
     assert np.allclose(trees.lengths(texts), want, rtol=1e-5)
