@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, text_chunks
+from .lookup import Lookup
 
 ORDER = 3
 #: At most about so many documents of a language teach its tree.
@@ -52,41 +53,6 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Lookup:
-    """The positions of 64-bit keys, by open addressing; vectorised both ways."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.at = np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]], self.at[slot[free]] = keys[left[free]], left[free]  # the last of those that want a slot has it
-            lost = self.at[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & (1 << self.bits) - 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """-1 where a key isn't there."""
-        slot = self._slot(keys)
-        held = self.keys[slot]
-        found = np.where(held == keys, self.at[slot], -1)
-        left = np.flatnonzero((held != keys) & (held >= 0))
-        slot = slot[left]
-        while len(left):
-            slot = (slot + 1) & (1 << self.bits) - 1
-            held = self.keys[slot]
-            same = held == keys[left]
-            found[left[same]] = self.at[slot[same]]
-            on = ~same & (held >= 0)
-            left, slot = left[on], slot[on]
-        return found
-
-
 class Trees:
     """Code lengths in bits, tabulated, one column per language.
 
