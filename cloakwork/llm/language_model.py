@@ -13,6 +13,7 @@ doesn't rule out. Joins with the tables of all words and arcs add their weights,
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,6 +152,7 @@ class Automaton:
 
     def start(self) -> Automaton:
         self.number, self.arc = Lookup(self.words), Lookup(self.arcs)
+        self.words = self.arcs = None  # the tables have them
         return self
 
     def walk(self, tokens: np.ndarray, sizes: np.ndarray):
@@ -173,6 +175,7 @@ class Automaton:
 class Model:
     automaton: Automaton
     words: DataFrame  # word, c
+    held: int  # the executors hold words of this count and more
     fails: DataFrame  # word, fail: backoff weights of all states
     arcs: DataFrame  # key, delta: what the arcs that aren't held add to fail and low
     tokens: int
@@ -182,11 +185,18 @@ class Model:
         return F.log10((c + 0.5) / self.total)
 
 
+def held_from(table: DataFrame, column: str, most: int) -> int:
+    """The least of LEAST, 2 LEAST, 4 LEAST ... that at most ``most`` rows reach."""
+    steps = [LEAST << k for k in range(45)]
+    reached = table.agg(*[F.count_if(F.col(column) >= x) for x in steps]).first()
+    return next(x for x, n in zip(steps, reached) if n <= most)
+
+
 def learn(training: DataFrame) -> Model:
     counts = materialise(count_words(training), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = tokens + 0.5 * (distinct + 1)
-    least_word, least_arc = max(LEAST, tokens / WORDS), max(LEAST, tokens / ARCS)
+    least_word = held_from(counts, "c", WORDS)
     often = counts.where(F.col("c") >= LEAST)
     held = counts.where(F.col("c") >= least_word).orderBy(F.desc("c"), "word").toPandas()  # WORDS rows at most
     known = bitmap_of(often, "word")
@@ -199,16 +209,16 @@ def learn(training: DataFrame) -> Model:
     left = (1 - F.sum("arc")) / F.greatest(1 - F.sum("p"), F.lit(1e-12))
     fails = materialise(arcs.groupBy("history").agg(F.log10(F.greatest(left, F.lit(1e-12))).alias("fail")).withColumnRenamed("history", "word"), "fails")
 
-    inside = (F.col("c_history") >= least_word) & (F.col("c_word") >= least_word) & (F.col("n") >= least_arc)
-    mine = arcs.where(inside).select("history", "word", F.log10("arc").alias("arc")).toPandas()  # ARCS rows at most
-
     def keyed(batches):
         for batch in batches:
             history, word = (batch.column(c).to_numpy() for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(bigram(history, word)), batch.column(2)], ["key", "delta"])
+            yield pa.RecordBatch.from_arrays([pa.array(bigram(history, word)), batch.column(2)], ["key", "weight"])
 
+    among = arcs.where((F.col("c_history") >= least_word) & (F.col("c_word") >= least_word))
+    inside = (F.col("c_history") >= least_word) & (F.col("c_word") >= least_word) & (F.col("n") >= held_from(among, "n", ARCS))
+    mine = arcs.where(inside).select("history", "word", F.log10("arc").alias("weight")).mapInArrow(keyed, "key long, weight double").toPandas()  # ARCS rows at most
     beyond = arcs.where(~inside).withColumnRenamed("word", "second").join(fails.withColumnRenamed("word", "history"), "history")
-    beyond = beyond.select("history", "second", (F.log10("arc") - F.col("fail") - F.log10("p")).alias("delta")).mapInArrow(keyed, "key long, delta double")
+    beyond = beyond.select("history", "second", (F.log10("arc") - F.col("fail") - F.log10("p")).alias("weight")).mapInArrow(keyed, "key long, weight double").withColumnRenamed("weight", "delta")
     beyond = materialise(beyond, "arcs-joined")
 
     own = fails.join(counts.where(F.col("c") >= least_word).select("word"), "word").toPandas().set_index("word")["fail"]  # WORDS rows at most
@@ -217,14 +227,14 @@ def learn(training: DataFrame) -> Model:
         words,
         np.log10((held["c"].to_numpy(float) + 0.5) / total),
         own.reindex(held["word"]).fillna(0.0).to_numpy(float),
-        bigram(mine["history"].to_numpy(np.int64), mine["word"].to_numpy(np.int64)),
-        mine["arc"].to_numpy(float),
+        mine["key"].to_numpy(np.int64),
+        mine["weight"].to_numpy(float),
         known,
         bitmap_of(beyond, "key"),
     )
     discard(pairs)
     discard(arcs)
-    return Model(automaton, counts, fails, beyond, tokens, total)
+    return Model(automaton, counts, least_word, fails, beyond, tokens, total)
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -251,7 +261,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(offsets, pa.array(values[at])), pa.ListArray.from_arrays(offsets, pa.array(times))
 
     def run(batches):
-        automaton = shared.value.start()
+        automaton = copy.copy(shared.value).start()
         for batch in text_chunks(batches, 2, CHUNK):
             tokens, sizes = tokens_of(batch.column(2).to_pylist())
             held, low, weight, maybe = automaton.walk(tokens, sizes)
@@ -272,8 +282,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         each = walked.select("row", F.explode(F.arrays_zip(F.col(values).alias("value"), F.col(times).alias("n"))).alias("x"))
         return each.select("row", F.col("x.value").alias("value"), F.col("x.n").alias("times"))
 
-    # A word that isn't held is frequent in no corpus that was learned from, but may be so in others: its rows are one for each text.
-    table = model.words.where(F.col("c") < max(LEAST, model.tokens / WORDS)).join(model.fails, "word", "left")
+    table = model.words.where(F.col("c") < model.held).join(model.fails, "word", "left")
     each = spread("others", "times").join(table, F.col("value") == F.col("word"), "left")
     low = model.low(F.coalesce("c", F.lit(0)))
     times = F.col("times")

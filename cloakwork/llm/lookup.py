@@ -10,7 +10,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         keys = keys.astype(np.int64)
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.4 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, np.int64)
         self.at = np.full(1 << self.bits, -1, np.int32)  # -1: a free slot
         left = np.arange(len(keys))
