@@ -126,27 +126,29 @@ LAYERS = {
 }
 
 
-def labelled_spans(found: DataFrame, layer: str) -> DataFrame:
-    """(…, label, score) rows of a model with pii_type instead of label, without low scores and unmapped labels."""
+def labelled_spans(found: DataFrame, layer: str, low_scores: bool = False) -> DataFrame:
+    """(…, label, score) rows of a model with pii_type instead of label, without unmapped labels and, unless they are
+    asked for, low scores."""
     labels, least, unknown_is_secret = LAYERS[layer]
     mapped = F.try_element_at(literal_map({k: v or "" for k, v in labels.items()}), F.col("label"))
     if unknown_is_secret:
         mapped = F.coalesce(mapped, F.lit("SECRET"))
-    return found.where(F.col("score") >= least).withColumn("pii_type", mapped).where("pii_type <> ''").drop("label")
+    kept = found if low_scores else found.where(F.col("score") >= least)
+    return kept.withColumn("pii_type", mapped).where("pii_type <> ''").drop("label")
 
 
-def external_spans(docs: DataFrame, found: DataFrame, layer: str, key: str = "doc_id", least_chars: int = 200) -> DataFrame:
+def external_spans(docs: DataFrame, found: DataFrame, layer: str, key: str = "doc_id", least_chars: int = 200, words: dict[str, list[str]] | None = None) -> DataFrame:
     """docs with a column ``spans`` of a model's findings: (key, start, end, label, score) rows.
 
-    The classifier isn't asked about texts under ``least_chars`` characters. An unavailable layer is an empty
+    A context word before a span of the analyzer (``words``, by type) raises its score before low scores go. The classifier isn't asked about texts under ``least_chars`` characters. An unavailable layer is an empty
     ``found``.
     """
-    rows = labelled_spans(found, layer).select(F.col(key).alias("_key"), "start", "end", "pii_type", "score")
+    rows = labelled_spans(found, layer, low_scores=layer == "analyzer").select(F.col(key).alias("_key"), "start", "end", "pii_type", "score")
     grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("score")).alias("minus"), "end", "pii_type"))).alias("_found"))
     joined = docs.join(grouped, docs[key] == grouped["_key"], "left")
     made = F.transform(F.coalesce("_found", F.array()), lambda s: span(s["start"], s["end"], s["pii_type"], cut(F.col("text"), s["start"], s["end"]), -s["minus"], F.lit(layer)))
     if layer == "analyzer":
-        made = boosted(made, F.col("text"))
+        made = boosted(made, F.col("text"), words)
     if layer == "classifier":
         made = F.when(F.length("text") >= least_chars, made).otherwise(no_spans())
     return joined.withColumn("spans", F.coalesce(made, no_spans())).drop("_key", "_found")

@@ -71,15 +71,29 @@ def mapping_rows(anonymised: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("context_id", "context_type", "token", "original", "pii_type")
 
 
+#: What a token looks like; other tokens are surrogate values.
+TOKEN = r"\[[^\[\]]*_[0-9]+\]"
+
+
 def deanonymise(texts: DataFrame, stored: DataFrame) -> DataFrame:
-    """texts (context_id, context_type, text, …) with restored_text: every token of the context is replaced, longest first.
+    """texts (context_id, context_type, text, …) with restored_text: every token of the context is replaced.
 
-    Only mappings of the same context and context type are used. The mappings are first cut down to the
-    contexts that occur in ``texts``.
+    Only mappings of the same context and context type are used. Tokens are cut out of each text and joined with the
+    mappings, so a text meets the tokens it holds and not all of its context's. Surrogate values have no
+    form of their own: they are looked for in the texts of their context, and replaced after the tokens, longest first.
     """
     keys = ["context_id", "context_type"]
-    wanted = stored.join(texts.select(*keys).distinct(), keys, "left_semi")
-    tokens = wanted.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct((-F.length("token")).alias("order"), "token", "original"))).alias("_tokens"))
-    joined = texts.join(tokens, keys, "left")
-    restored = F.aggregate("_tokens", F.col("text"), lambda text, t: F.replace(text, t["token"], t["original"]))
-    return joined.withColumn("restored_text", F.coalesce(restored, F.col("text"))).drop("_tokens")
+    marked = texts.withColumn("_id", F.sha2(F.concat_ws("\0", *keys, "text"), 256))
+    asked = marked.where("text is not null").select("_id", *keys, "text")
+    named = F.col("token").rlike(f"^(?:{TOKEN})$")
+    held = asked.select("_id", *keys, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 0))).alias("token"))
+    by_token = held.join(stored.where(named).select(*keys, "token", "original"), [*keys, "token"]).select("_id", "token", "original", F.lit(True).alias("named"))
+    by_value = asked.join(stored.where(~named & (F.col("token") != "")).select(*keys, "token", "original"), keys).where(F.contains("text", "token")).select("_id", "token", "original", F.lit(False).alias("named"))
+    found = by_token.unionAll(by_value).groupBy("_id", "token", "named").agg(F.min("original").alias("original"))
+    entry = lambda condition: F.collect_list(F.when(condition, F.struct((-F.length("token")).alias("order"), "token", "original")))
+    found = found.groupBy("_id").agg(entry(F.col("named")).alias("_tokens"), F.array_sort(entry(~F.col("named"))).alias("_values"))
+    originals = F.map_from_entries(F.transform("_tokens", lambda t: F.struct(t["token"], t["original"])))
+    pieces = F.zip_with(F.split("text", TOKEN, -1), F.regexp_extract_all("text", F.lit(TOKEN), 0), lambda gap, token: F.concat(gap, F.coalesce(F.try_element_at("_originals", token), token, F.lit(""))))
+    restored = F.aggregate("_values", F.array_join(pieces, ""), lambda text, t: F.replace(text, t["token"], t["original"]))
+    joined = marked.join(found.select("_id", originals.alias("_originals"), "_values"), "_id", "left")
+    return joined.withColumn("restored_text", F.coalesce(restored, F.col("text"))).select(*texts.columns, "restored_text")

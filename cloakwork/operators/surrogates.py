@@ -149,8 +149,12 @@ def generate(strategy: Column, value: Column, context: Column, locale: Column) -
     return result.otherwise(seeded)
 
 
-def profiles(people: DataFrame) -> DataFrame:
-    """(context_id, profile_key, gender) rows with a coherent invented person each."""
+PERSONA = ["fake_first_name", "fake_last_name", "fake_birth_date", "fake_gender", "fake_city", "fake_belfiore", "fake_cf"]
+
+
+def profiles(people: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(context_id, profile_key, gender) rows with a coherent invented person each, or with the one that ``stored``
+    (context_id, real_hash and the PERSONA columns) has for them."""
     key = F.concat_ws("|", "profile_key", "context_id")
     made = people.withColumn("_drawn", draw(F.lit("profile"), F.col("profile_key"), F.col("context_id"), F.lit("it_IT")))
     male = hashed_choice(FIRST_NAMES["M"], key, "first")
@@ -164,29 +168,44 @@ def profiles(people: DataFrame) -> DataFrame:
         F.col("gender").alias("fake_gender"),
         F.expr("substring(_drawn, 12)").alias("fake_city"),
     )
-    return made.withColumn("fake_belfiore", lookup(seeds.CITY_CODES, F.col("fake_city"))).withColumn(
+    made = made.withColumn("fake_belfiore", lookup(seeds.CITY_CODES, F.col("fake_city"))).withColumn(
         "fake_cf", tax_code(F.col("fake_last_name"), F.col("fake_first_name"), F.col("fake_birth_date"), F.col("fake_gender"), F.col("fake_city"))
     )
+    if stored is None:
+        return made
+    old = stored.select("context_id", "real_hash", F.struct(*PERSONA).alias("_old"))
+    whole = made.join(old, ["context_id", "real_hash"], "left")
+    chosen = {c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in PERSONA}
+    return whole.withColumns(chosen).select(made.columns)
 
 
-def surrogates(values: DataFrame, registry: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+def people_of(values: DataFrame) -> DataFrame:
+    """The persons and tax codes among (context_id, pii_type, text, …) rows, with the profile each takes its value from."""
+    person = F.col("pii_type") == "PERSON"
+    return values.where(F.col("pii_type").isin("PERSON", "FISCAL_CODE")).withColumns(
+        {
+            "profile_key": F.when(person, name_key(F.col("text"))).otherwise(strip(F.upper(F.col("text")))),
+            "gender": F.when(person, F.lit("M")).otherwise(F.coalesce(decoded_tax_code(F.col("text"))["gender"], F.lit("M"))),
+        }
+    )
+
+
+def profiles_of(values: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The profiles that the persons and tax codes among some values take their surrogates from."""
+    return profiles(people_of(values).groupBy("context_id", "profile_key").agg(F.min("gender").alias("gender")), stored)
+
+
+def surrogates(values: DataFrame, registry: DataFrame, cached: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(context_id, pii_type, text, language) rows, distinct by all but language, with real_hash and fake_value.
 
-    Persons and tax codes take their value from a profile; other types from the strategy in the registry, or from
+    Persons and tax codes take their value from a profile, ``stored`` or new; other types from the strategy in the registry, or from
     ``cached`` (context_id, pii_type, real_hash, fake_value) where it has one.
     """
     rows = values.join(registry.select(F.col("code").alias("pii_type"), F.col("faker_strategy").alias("strategy")), "pii_type", "left")
     rows = rows.withColumn("real_hash", value_hash(F.col("text")))
     profiled = F.col("pii_type").isin("PERSON", "FISCAL_CODE")
     person = F.col("pii_type") == "PERSON"
-    upper = strip(F.upper(F.col("text")))
-    people = rows.where(profiled).withColumns(
-        {
-            "profile_key": F.when(person, name_key(F.col("text"))).otherwise(upper),
-            "gender": F.when(person, F.lit("M")).otherwise(F.coalesce(decoded_tax_code(F.col("text"))["gender"], F.lit("M"))),
-        }
-    )
-    made = profiles(people.groupBy("context_id", "profile_key").agg(F.min("gender").alias("gender")))
+    people, made = people_of(rows), profiles_of(rows, stored)
     whole = people.join(made.select("context_id", "profile_key", "fake_first_name", "fake_last_name", "fake_cf"), ["context_id", "profile_key"])
     whole = whole.withColumn("fake_value", F.when(person, F.concat_ws(" ", "fake_first_name", "fake_last_name")).otherwise(F.col("fake_cf")))
     simple = rows.where(~profiled).withColumn("fake_value", generate(F.col("strategy"), F.col("text"), F.col("context_id"), locale_of(F.coalesce("language", F.lit("it")))))

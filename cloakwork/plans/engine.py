@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import merge, no_spans
 from ..functions.text import token_key
 from ..operators import detect, policy, replace, rules, surrogates
+from ..sources import store
 
 
 @dataclass(frozen=True)
@@ -19,20 +20,25 @@ class Config:
     patterns: tuple = detect.SEEDED + detect.USER
     rules: tuple = rules.SEEDED
     denylist: dict = field(default_factory=lambda: rules.DENYLIST)
+    words: dict | None = None  # context words by type; None: the seeded ones
 
     @staticmethod
-    def read(patterns: DataFrame, rule_rows: DataFrame, denied: DataFrame) -> Config:
-        """From configuration tables; the enabled rows, in a total order."""
+    def read(patterns: DataFrame, rule_rows: DataFrame, denied: DataFrame, words: DataFrame | None = None) -> Config:
+        """From configuration tables; the enabled rows, in a total order. Denied values and context words count in lower
+        case and without outer white space."""
         found = tuple(detect.Pattern(r.pii_type, r.pattern, r.flags or "", r.capture_group) for r in patterns.where("enabled").orderBy("pii_type", "id").collect())
         kept = tuple(rules.Rule(r.from_type, r.to_type, r.context_pattern, r.entity_pattern, r.context_window) for r in rule_rows.where("enabled").orderBy("from_type", "created_at", "id").collect())
         lists: dict = {}
         for r in denied.where("enabled").collect():
-            words, phrases = lists.setdefault(r.pii_type, (set(), []))
+            exact, phrases = lists.setdefault(r.pii_type, (set(), []))
             if r.match_type == "contains":
-                phrases.append(r.value.lower())
+                phrases.append(r.value.lower().strip())
             else:
-                words.add(r.value.lower())
-        return Config(found, kept, {k: (frozenset(w), tuple(p)) for k, (w, p) in lists.items()})
+                exact.add(r.value.lower().strip())
+        near: dict | None = None if words is None else {}
+        for r in [] if words is None else words.where("enabled").orderBy("entity_type", "word").collect():
+            near.setdefault(r.entity_type, []).append(r.word.lower().strip())
+        return Config(found, kept, {k: (frozenset(w), tuple(p)) for k, (w, p) in lists.items()}, near)
 
 
 def detected(text: Column, config: Config, others: Column | None = None) -> Column:
@@ -48,6 +54,9 @@ class PiiEngine:
     contexts: DataFrame | None = None
     policies: DataFrame | None = None
     registry: DataFrame | None = None
+    stored_surrogates: DataFrame | None = None  # context_id, pii_type, real_hash, fake_value
+    stored_profiles: DataFrame | None = None  # context_id, real_hash and surrogates.PERSONA
+    scratch: list = field(default_factory=list)
 
     def __post_init__(self):
         self.contexts = self.contexts or policy.context_types(self.spark)
@@ -71,12 +80,13 @@ class PiiEngine:
         entity_count, pii_types_found, entities (the last in the text first) and mode.
 
         A null text has no entities. In tag mode, types that a policy gives surrogates still show tags, unless
-        ``per_type_surrogate``.
+        ``per_type_surrogate``. If any document needs surrogates, all are searched once and written with their spans to the
+        shared folder (``clear`` deletes them); those that need none aren't shuffled.
         """
-        rows = policy.resolve(self.detect(docs, layers), self.contexts, self.policies)
-        rows = rows.withColumn("spans", policy.protected(F.col("spans"), F.col("protect"), F.col("keep"), F.col("surrogate")))
-        rows = rows.withColumn("tokens", replace.with_tokens(F.col("spans")))
-        rows = self._with_surrogates(rows, per_type_surrogate)
+        rows, asked = self._tokens(docs, layers), self._asked(per_type_surrogate)
+        if not policy.resolve(docs, self.contexts, self.policies).where(asked).isEmpty():
+            rows = self._settled(rows)
+            rows = rows.where(~asked).unionByName(self._with_surrogates(rows.where(asked), per_type_surrogate))
         return rows.withColumns(
             {
                 "anonymized_text": replace.replaced(F.col("text"), F.col("tokens")),
@@ -86,6 +96,46 @@ class PiiEngine:
             }
         ).drop("spans", "tokens", "protect", "keep", "surrogate")
 
+    def new_surrogates(self, docs: DataFrame, layers: str | None = None, per_type_surrogate: bool = False) -> tuple[DataFrame, DataFrame]:
+        """What an anonymise run adds to the stored surrogates and to the stored profiles: rows whose keys they don't have."""
+        rows = self._settled(self._tokens(docs, layers)).where(self._asked(per_type_surrogate))
+        distinct = self._distinct(self._firsts(rows))
+        made = surrogates.surrogates(distinct, self.registry, self.stored_surrogates, self.stored_profiles).where(~F.col("pii_type").isin("PERSON", "FISCAL_CODE")).drop("text")
+        people = surrogates.profiles_of(distinct, self.stored_profiles).select("context_id", "real_hash", *surrogates.PERSONA)
+        fresh = lambda new, old, keys: store.new_rows(old if old is not None else new.limit(0), new, keys, [F.lit(0)])
+        return fresh(made, self.stored_surrogates, ["context_id", "pii_type", "real_hash"]), fresh(people, self.stored_profiles, ["context_id", "real_hash"])
+
+    @staticmethod
+    def _asked(per_type: bool) -> Column:
+        asked = F.col("mode") == "surrogate"
+        return asked | (F.size("surrogate") > 0) if per_type else asked
+
+    def _tokens(self, docs: DataFrame, layers: str | None) -> DataFrame:
+        """Requests with their policies, and their spans with tokens. A filter below the search would blow up its plan."""
+        rows = policy.resolve(self.detect(docs, layers), self.contexts, self.policies)
+        rows = rows.withColumn("spans", policy.protected(F.col("spans"), F.col("protect"), F.col("keep"), F.col("surrogate")))
+        return rows.withColumn("tokens", replace.with_tokens(F.col("spans")))
+
+    def _firsts(self, rows: DataFrame) -> DataFrame:
+        """The values of requests that need surrogates, without their texts."""
+        language = F.coalesce("language", F.lit("it")) if "language" in rows.columns else F.lit("it")
+        values = rows.select("doc_id", "context_id", language.alias("language"), F.explode("spans").alias("s")).select("doc_id", "context_id", "language", "s.pii_type", "s.text", "s.start")
+        return surrogates.first_forms(values)
+
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        table, path = store.settled(rows)
+        self.scratch.append(path)
+        return table
+
+    def clear(self) -> None:
+        """Deletes what runs have written to the shared folder; their results can't be read after it."""
+        while self.scratch:
+            store.delete(self.spark, self.scratch.pop())
+
+    @staticmethod
+    def _distinct(firsts: DataFrame) -> DataFrame:
+        return firsts.groupBy("context_id", "pii_type", "text").agg(F.min("language").alias("language"))
+
     def tag(self, docs: DataFrame) -> DataFrame:
         """Policy-free: every span becomes a tag."""
         rows = self.detect(docs).withColumn("tokens", replace.with_tokens(F.col("spans")))
@@ -98,18 +148,12 @@ class PiiEngine:
         )
 
     def _with_surrogates(self, rows: DataFrame, per_type: bool) -> DataFrame:
-        """Puts surrogates for tokens where the mode asks for them. Only values of such documents leave their row,
-        and each distinct value is generated once."""
-        asked = F.col("mode") == "surrogate"
-        if per_type:
-            asked |= F.size("surrogate") > 0
-        language = F.coalesce("language", F.lit("it")) if "language" in rows.columns else F.lit("it")
-        values = rows.where(asked).select("doc_id", "context_id", language.alias("language"), F.explode("spans").alias("s")).select("doc_id", "context_id", "language", "s.pii_type", "s.text", "s.start")
-        firsts = surrogates.first_forms(values)
-        distinct = firsts.groupBy("context_id", "pii_type", "text").agg(F.min("language").alias("language"))
-        made = surrogates.surrogates(distinct, self.registry)
+        """Puts surrogates for the tokens of requests that ask for them. Each distinct value is generated once, or
+        taken from what is stored."""
+        firsts = self._firsts(rows)
+        made = surrogates.surrogates(self._distinct(firsts), self.registry, self.stored_surrogates, self.stored_profiles)
         fakes = firsts.join(made, ["context_id", "pii_type", "text"]).groupBy("doc_id", "context_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "fake_value"))).alias("_fakes"))
         joined = rows.join(fakes.withColumnRenamed("doc_id", "_doc").withColumnRenamed("context_id", "_context"), (F.col("doc_id") == F.col("_doc")) & F.col("context_id").eqNullSafe(F.col("_context")), "left")
         wanted = (lambda s: (F.col("mode") == "surrogate") | F.array_contains("surrogate", s["pii_type"])) if per_type else (lambda s: F.col("mode") == "surrogate")
         fake = lambda t: F.struct(t["span"].alias("span"), F.when(wanted(t["span"]), F.coalesce(F.try_element_at("_fakes", token_key(t["span"]["text"])), t["span"]["text"])).otherwise(t["token"]).alias("token"))
-        return joined.withColumn("tokens", F.when(asked, F.transform("tokens", fake)).otherwise(F.col("tokens"))).drop("_doc", "_context", "_fakes")
+        return joined.withColumn("tokens", F.transform("tokens", fake)).drop("_doc", "_context", "_fakes")

@@ -6,6 +6,7 @@ tested; ``rewrite`` puts a result in place of the old files, ``append`` adds to
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,17 +97,69 @@ def authorised(requests: DataFrame, api_keys: DataFrame, roles: list[str]) -> Da
     return requests.join(good, key_hash(F.col("api_key")) == F.col("key_hash"), "left_semi")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        there = tempfile.mkdtemp(prefix="cloakwork-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there.rstrip("/")
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder and read back, and the path: what reads it several times doesn't compute it again."""
+    path = f"{shared_dir(df.sparkSession)}/cloakwork/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then swaps folders: a job that fails midway leaves the table as it was."""
+    """Writes beside the table, then swaps folders. A job that fails midway leaves the table as it was; between the two
+    renames the old table is whole beside its place (``…-old-…``), and is put back if the second one fails."""
     spark: SparkSession = df.sparkSession
-    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    new, aside_path = f"{path.rstrip('/')}-{run}", f"{path.rstrip('/')}-old-{run}"
     df.write.parquet(new)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    old, fresh, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, aside_path))
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(fresh, old)
+    there = fs.exists(old)
+    if there and not fs.rename(old, aside):
+        raise OSError(f"{path} can't be moved aside; the new table is in {new}")
+    if not fs.rename(fresh, old):
+        if there:
+            fs.rename(aside, old)
+        raise OSError(f"{new} can't take the place of {path}")
+    if there:
+        fs.delete(aside, True)
+
+
+def usage(api_keys: DataFrame, requests: DataFrame) -> DataFrame:
+    """api_keys with ``last_used_at`` moved on to the latest of the requests (api_key, created_at) that active keys have made."""
+    used = requests.groupBy(key_hash(F.col("api_key")).alias("key_hash")).agg(F.max("created_at").alias("_at"))
+    joined = api_keys.join(used, "key_hash", "left")
+    return joined.withColumn("last_used_at", F.when(F.col("active"), F.greatest("last_used_at", "_at")).otherwise(F.col("last_used_at"))).select(api_keys.columns)
+
+
+def found(table: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; LookupError if there is none."""
+    row = table.where(F.col(key) == F.lit(value))
+    if row.isEmpty():
+        raise LookupError(f"no row with {key} {value!r}")
+    return row

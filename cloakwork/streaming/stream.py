@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.replace import mapping_rows
 from ..plans.engine import PiiEngine
-from ..sources.store import append, new_rows
+from ..sources.store import append, exists, new_rows
 
 MAPPING_KEYS = ["context_id", "context_type", "token"]
 
@@ -26,15 +26,12 @@ def anonymise_stream(engine: PiiEngine, docs: DataFrame, texts: str, mappings: s
         try:
             found.select("doc_id", "context_id", "context_type", "anonymized_text", "entity_count", "mode").write.mode("overwrite").parquet(f"{texts}/batch={number}")
             rows = mapping_rows(found)
-            try:
-                known = spark.read.schema(rows.schema).parquet(mappings)
-            except Exception as e:  # the table doesn't exist before the first batch
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                known = spark.createDataFrame([], rows.schema)
+            known = spark.read.schema(rows.schema).parquet(mappings) if exists(spark, mappings) else spark.createDataFrame([], rows.schema)
+            known = known.join(rows.select("context_id", "context_type").distinct(), ["context_id", "context_type"], "left_semi")
             append(new_rows(known, rows, MAPPING_KEYS, [F.col("original")]), mappings)
         finally:
             found.unpersist()
+            engine.clear()
 
     return docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
