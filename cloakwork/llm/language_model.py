@@ -13,7 +13,6 @@ doesn't rule out. Joins with the tables of all words and arcs add their weights,
 
 from __future__ import annotations
 
-import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,10 +148,12 @@ class Automaton:
     weight: np.ndarray
     known: np.ndarray
     joined: np.ndarray
+    number: Lookup | None = None
 
     def start(self) -> Automaton:
-        self.number, self.arc = Lookup(self.words), Lookup(self.arcs)
-        self.words = self.arcs = None  # the tables have them
+        if self.number is None:  # once for each Python worker
+            self.number, self.arc = Lookup(self.words), Lookup(self.arcs)
+            self.words = self.arcs = None
         return self
 
     def walk(self, tokens: np.ndarray, sizes: np.ndarray):
@@ -261,7 +262,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(offsets, pa.array(values[at])), pa.ListArray.from_arrays(offsets, pa.array(times))
 
     def run(batches):
-        automaton = copy.copy(shared.value).start()
+        automaton = shared.value.start()
         for batch in text_chunks(batches, 2, CHUNK):
             tokens, sizes = tokens_of(batch.column(2).to_pylist())
             held, low, weight, maybe = automaton.walk(tokens, sizes)
