@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CONTEXT_NAMES
+from .queries import CONTEXT_NAMES, ENDS, NAME
 from ..sources import seeds
 
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -103,12 +103,18 @@ WITH c AS (
 """
 
 CLASSES = ", ".join(f"('{label}', {quoted(code) if code else 'NULL'})" for code, labels in seeds.CLASSIFIER_LABELS.items() for label in labels.split())
-MODEL_ROWS = """(SELECT doc_id, ['FIRSTNAME','JOBTITLE','EMAIL','NEWLABEL','IPV4','ZIPCODE','AGE'][CAST(doc_id % 7 + 1 AS INT)] AS label, (doc_id * 37 % 100) / 100.0::DOUBLE AS score, text FROM documents)"""
+NAMED = spans("PERSON", NAME)
+
+
+def model_rows(labels: str) -> str:
+    size = len(labels.split())
+    return f"""(SELECT n.*, ['{"','".join(labels.split())}'][CAST((doc_id + "start") % {size} + 1 AS INT)] AS label, ((doc_id + "start") * 37 % 100) / 100.0::DOUBLE AS score FROM ({NAMED}) n)"""
+
+
+MODEL_ROWS = model_rows("FIRSTNAME JOBTITLE EMAIL NEWLABEL IPV4 ZIPCODE AGE")
+BEFORE = """lower(substr(text, CAST(greatest("start" - 60, 0) + 1 AS BIGINT), CAST(least("start", 60) AS BIGINT)))"""
 AUDIT = "(SELECT event_id AS id, event_type AS action, CAST(user_id AS VARCHAR) AS context_id, ts AS created_at FROM events)"
 ORDERS = "(SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders)"
-FIRST_WORDS = "(SELECT doc_id, regexp_extract(text, '^[A-Za-z]+') AS value FROM documents)"
-ONE_WORD = "SELECT doc_id, CAST(0 AS BIGINT) AS \"start\", CAST(length(value) AS BIGINT) AS \"end\", 'PERSON' AS pii_type, value"
-
 ORACLES = {
     "regex_spans_email": spans("EMAIL", EMAIL),
     "regex_spans_ip": spans("IP_ADDRESS", IP),
@@ -129,23 +135,50 @@ WITH raw AS ({union(spans("IP_ADDRESS", IP), spans("CREDIT_CARD", CARD))})
 SELECT doc_id, r."start", r."end", value,
        CASE WHEN pii_type = 'IP_ADDRESS' AND regexp_matches(substr(text, greatest(r."start" - 20, 0) + 1, r."start" - greatest(r."start" - 20, 0)), '[aeiou]\\s$') THEN 'HOST' ELSE pii_type END AS pii_type
 FROM raw r JOIN documents USING (doc_id) WHERE NOT (pii_type = 'CREDIT_CARD' AND regexp_matches(value, '^4[0-4]'))""",
-    "denylist_exact": f"{ONE_WORD} FROM {FIRST_WORDS} WHERE value <> '' AND lower(value) NOT IN ('the', 'of', 'in', 'and', 'to', 'der', 'la', 'de')",
-    "denylist_contains": f"{ONE_WORD} FROM {FIRST_WORDS} WHERE value <> '' AND NOT contains(lower(value), 'th') AND NOT contains(lower(value), 'ion')",
-    "context_boost": """
-WITH s AS (SELECT doc_id, round((doc_id % 10) / 10.0::DOUBLE, 1) AS score, lower(substr(text, 21, 60)) AS before FROM documents WHERE length(text) >= 90)
-SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(before, 'the ') OR contains(before, 'der ') THEN greatest(score, 0.9) ELSE score END AS score FROM s) WHERE score >= 0.65""",
-    "snap_boundary": """
-WITH a AS (SELECT doc_id, text, 20 + length(regexp_extract(substr(text, 21, 10), '^[ \\t]*')) AS s, 30 + length(regexp_extract(substr(text, 31), '^[A-Za-z0-9_]*')) AS e FROM documents WHERE length(text) >= 60),
-  b AS (SELECT doc_id, text, e, s - CASE WHEN regexp_matches(substr(text, s + 1, 1), '[A-Za-z0-9_]') THEN length(regexp_extract(substr(text, 1, s), '[A-Za-z0-9_]*$')) ELSE 0 END AS s FROM a)
-SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", 'ADDRESS' AS pii_type, substr(text, s + 1, e - s) AS value FROM b""",
+    "denylist_exact": f"SELECT * FROM ({NAMED}) WHERE lower(value) NOT IN ('the', 'of', 'in', 'and', 'to', 'der', 'la', 'de')",
+    "denylist_contains": f"SELECT * FROM ({NAMED}) WHERE NOT contains(lower(value), 'th') AND NOT contains(lower(value), 'ion')",
+    "context_boost": f"""
+WITH s AS (SELECT doc_id, "start", round(((doc_id + "start") % 10) / 10.0::DOUBLE, 1) AS score, {BEFORE} AS before FROM ({NAMED}) JOIN documents USING (doc_id))
+SELECT doc_id, "start", score FROM (SELECT doc_id, "start", CASE WHEN contains(before, 'the ') OR contains(before, 'der ') THEN greatest(score, 0.9) ELSE score END AS score FROM s) WHERE score >= 0.65""",
+    "snap_boundary": f"""
+WITH a AS (SELECT doc_id, text, "start" - length(regexp_extract(substr(text, 1, "start"), '[A-Za-z0-9_]*$')) AS s, "end" + length(regexp_extract(substr(text, "end" + 1), '^[A-Za-z0-9_]*')) AS e
+           FROM ({spans("ADDRESS", ENDS)}) JOIN documents USING (doc_id))
+SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", 'ADDRESS' AS pii_type, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS value FROM a""",
+    # A chain is a B and the I and E of its label that follow at once, or an S alone.
+    "bioes_collapse": f"""
+WITH t AS (SELECT doc_id, "start", "end", ("start" % 64) / 128.0::DOUBLE AS score,
+                  ['B-a','I-a','E-a','O','S-b','I-b','B-b','E-b','B-a','I-b'][CAST((doc_id * 7 + (row_number() OVER (PARTITION BY doc_id ORDER BY "start") - 1) * (doc_id % 3 + 1)) % 10 + 1 AS INT)] AS tag FROM ({NAMED})),
+  l AS (SELECT *, tag[1] AS kind, tag[3:] AS label, lag(tag) OVER w AS last FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY "start")),
+  c AS (SELECT *, sum(CASE WHEN kind IN ('I', 'E') AND last[1] IN ('B', 'I') AND last[3:] = label THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "start") AS chain FROM l)
+SELECT doc_id, min("start") AS "start", max("end") AS "end", any_value(label) AS label, round(avg(score), 4) AS score FROM c GROUP BY doc_id, chain HAVING arg_min(kind, "start") IN ('B', 'S')""",
     "label_map_threshold": f"""
 WITH labels_of(label, code) AS (VALUES {CLASSES})
-SELECT doc_id, CASE WHEN l.label IS NULL THEN 'SECRET' ELSE code END AS pii_type, score
+SELECT doc_id, "start", CASE WHEN l.label IS NULL THEN 'SECRET' ELSE code END AS pii_type, score
 FROM {MODEL_ROWS} m LEFT JOIN labels_of l USING (label) WHERE score >= 0.7 AND (l.label IS NULL OR code IS NOT NULL)""",
     "external_layer_spans": f"""
 WITH labels_of(label, code) AS (VALUES {CLASSES})
-SELECT doc_id, CAST(0 AS BIGINT) AS "start", CAST(least(10, length(text)) AS BIGINT) AS "end", CASE WHEN l.label IS NULL THEN 'SECRET' ELSE code END AS pii_type, substr(text, 1, 10) AS value
-FROM {MODEL_ROWS} m LEFT JOIN labels_of l USING (label) WHERE score >= 0.7 AND (l.label IS NULL OR code IS NOT NULL) AND length(text) >= 200""",
+SELECT doc_id, "start", "end", CASE WHEN l.label IS NULL THEN 'SECRET' ELSE code END AS pii_type, value
+FROM {MODEL_ROWS} m LEFT JOIN labels_of l USING (label) JOIN documents USING (doc_id) WHERE score >= 0.7 AND (l.label IS NULL OR code IS NOT NULL) AND length(text) >= 200""",
+    "analyzer_layer_spans": f"""
+WITH labels_of(label, code) AS (VALUES ('PERSON', 'PERSON'), ('EMAIL_ADDRESS', 'EMAIL'), ('DATE_TIME', 'DATE'), ('URL', 'URL')),
+  s AS (SELECT doc_id, "start", "end", code AS pii_type, score, {BEFORE} AS before FROM {model_rows("PERSON LOCATION EMAIL_ADDRESS DATE_TIME URL")} JOIN labels_of USING (label) JOIN documents USING (doc_id))
+SELECT * FROM (SELECT doc_id, "start", "end", pii_type,
+                      CASE WHEN pii_type = 'PERSON' AND (contains(before, 'the ') OR contains(before, 'der ')) OR pii_type = 'EMAIL' AND contains(before, ' de ') THEN greatest(score, 0.9) ELSE score END AS score FROM s) WHERE score >= 0.65""",
+    "mappings_by_context": f"SELECT id, context_id, 'value ' || id AS original FROM {AUDIT} WHERE id % 4 <> 0 AND context_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0)",
+    "setting_or_default": "SELECT coalesce(max(CASE WHEN c_name = 'Customer#000000007' THEN 'v' || c_custkey END), 'none') AS known, 'it' AS unknown FROM customer",
+    "audit_sink_rows": TAGGED + f"""
+SELECT sha256('anonymize|' || source || '|' || doc_id || '|2024-01-30 00:00:00') AS id, 'anonymize' AS action, source AS context_id, coalesce(types, '') AS types, CAST(length(text) AS BIGINT) AS char_count
+FROM documents LEFT JOIN rebuilt USING (doc_id)""",
+    "insert_new_keys": f"SELECT id, cust, status FROM {ORDERS}",
+    "audit_total": f"SELECT count(*) AS total FROM {AUDIT} WHERE action = 'purchase'",
+    "api_key_count": "SELECT count(*) AS keys FROM customer",
+    "key_last_used": f"""
+SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN greatest(TIMESTAMP '2024-01-15 00:00:00', coalesce(latest, TIMESTAMP '2024-01-15 00:00:00')) ELSE TIMESTAMP '2024-01-15 00:00:00' END AS last_used_at
+FROM customer LEFT JOIN (SELECT context_id, max(created_at) AS latest FROM {AUDIT} GROUP BY context_id) ON context_id = CAST(c_custkey AS VARCHAR)""",
+    "name_keys": "SELECT c_custkey, lower(c_name) || ' de la ' || c_custkey AS key FROM customer",
+    "surrogate_cache_join": f"""
+SELECT DISTINCT pii_type, value AS text, 'fake ' || value AS fake_value FROM ({RAW}) WHERE length(value) % 2 = 0""",
+    "profile_join": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS context_id, c_name AS text, CASE WHEN c_custkey % 2 = 0 THEN 'Ada N' || c_custkey END AS fake_value FROM customer",
     "policy_resolve": RESOLVED + """
 SELECT doc_id, context_type, mode, array_to_string(list_sort(protect), ' ') AS protect, array_to_string(list_sort(keep), ' ') AS keep, '' AS surrogate FROM resolved""",
     "policy_filter": RESOLVED + f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.spans import cut, merge_adjacent, no_spans, resolve_overlaps, span
+from ..functions.spans import merge_adjacent, resolve_overlaps, span
 from ..operators import detect, policy, replace, reporting, rules, surrogates
 from ..operators.detect import Pattern
 from ..sources import store
@@ -63,57 +63,64 @@ def reclassify_by_context(spark, sf_dir):
     return span_rows(docs, rules.reclassify(F.col("spans"), F.col("text"), moved))
 
 
-def first_words(docs: DataFrame, pii_type: str = "PERSON", score: Column | None = None) -> DataFrame:
-    """Documents with one span over their first word."""
-    end = F.length(F.regexp_extract("text", "^[A-Za-z]+", 0))
-    one = span(F.lit(0), end, F.lit(pii_type), cut(F.col("text"), F.lit(0), end), F.lit(0.8) if score is None else score, F.lit("analyzer"))
-    return docs.withColumn("spans", F.when(end > 0, F.array(one)).otherwise(no_spans()))
+#: Capitalised words, and the ends of two neighbouring words of which the second is capitalised.
+NAME, ENDS = "[A-Z][a-z]+", "[a-z] [A-Z]"
+
+
+def named(spark, sf_dir, pii_type: str = "PERSON", pattern: str = NAME) -> DataFrame:
+    """Documents with a span over every match in the whole text."""
+    return documents(spark, sf_dir).withColumn("spans", detect.regex_spans(F.col("text"), (Pattern(pii_type, pattern),)))
 
 
 def denylist_exact(spark, sf_dir):
-    return span_rows(first_words(documents(spark, sf_dir)), rules.allowed(F.col("spans"), {"PERSON": (frozenset(("the", "of", "in", "and", "to", "der", "la", "de")), ())}))
+    return span_rows(named(spark, sf_dir), rules.allowed(F.col("spans"), {"PERSON": (frozenset(("the", "of", "in", "and", "to", "der", "la", "de")), ())}))
 
 
 def denylist_contains(spark, sf_dir):
-    return span_rows(first_words(documents(spark, sf_dir)), rules.allowed(F.col("spans"), {"PERSON": (frozenset(), ("th", "ion"))}))
+    return span_rows(named(spark, sf_dir), rules.allowed(F.col("spans"), {"PERSON": (frozenset(), ("th", "ion"))}))
 
 
 def context_boost(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("length(text) >= 90")
-    score = F.round(F.pmod("doc_id", F.lit(10)) / 10.0, 1)
-    docs = docs.withColumn("spans", F.array(span(F.lit(80), F.lit(88), F.lit("PERSON"), cut(F.col("text"), F.lit(80), F.lit(88)), score, F.lit("analyzer"))))
+    score = lambda s: F.round(F.pmod(F.col("doc_id") + s["start"], F.lit(10)) / 10.0, 1)
+    scored = F.transform("spans", lambda s: span(s["start"], s["end"], s["pii_type"], s["text"], score(s), F.lit("analyzer")))
+    docs = named(spark, sf_dir).withColumn("spans", scored)
     rows = docs.select("doc_id", F.explode(detect.boosted(F.col("spans"), F.col("text"), {"PERSON": ["the ", "der "]})).alias("s"))
-    return rows.select("doc_id", F.col("s.score").alias("score"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.score").alias("score"))
 
 
 def snap_boundary(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("length(text) >= 60")
-    docs = docs.withColumn("spans", F.array(span(F.lit(20), F.lit(30), F.lit("ADDRESS"), cut(F.col("text"), F.lit(20), F.lit(30)), F.lit(0.9), F.lit("filter"))))
-    return span_rows(docs, rules.snap(F.col("spans"), F.col("text")))
+    return span_rows(named(spark, sf_dir, "ADDRESS", ENDS), rules.snap(F.col("spans"), F.col("text")))
 
 
 def bioes_collapse(spark, sf_dir):
-    """Tags dealt by position over the first dozen words of each document."""
+    """Tags dealt by position over all capitalised words of each document."""
     tags = F.array(*map(F.lit, ("B-a", "I-a", "E-a", "O", "S-b", "I-b", "B-b", "E-b", "B-a", "I-b")))
-    words = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct((i * 6).alias("start"), (i * 6 + 5).alias("end"), F.element_at(tags, (F.pmod(F.col("doc_id") * 7 + i * (F.pmod("doc_id", F.lit(3)) + 1), F.lit(10)) + 1).cast("int")).alias("tag"), (F.lit(0.5) + i / 40.0).alias("score")))
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(detect.collapsed_tags(words)).alias("s"))
-    return rows.select("doc_id", "s.start", "s.end", "s.label", "s.score")
+    tag = lambda s, i: F.element_at(tags, (F.pmod(F.col("doc_id") * 7 + i * (F.pmod("doc_id", F.lit(3)) + 1), F.lit(10)) + 1).cast("int"))
+    tokens = F.transform("spans", lambda s, i: F.struct(s["start"], s["end"], tag(s, i).alias("tag"), (F.pmod(s["start"], F.lit(64)) / 128.0).alias("score")))
+    rows = named(spark, sf_dir).select("doc_id", F.explode(detect.collapsed_tags(tokens)).alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.label", "s.score")
 
 
-def model_rows(spark, sf_dir) -> DataFrame:
-    labels = ["FIRSTNAME", "JOBTITLE", "EMAIL", "NEWLABEL", "IPV4", "ZIPCODE", "AGE"]
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", F.element_at(F.array(*map(F.lit, labels)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int")).alias("label"), (F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100.0).alias("score"), F.lit(0).alias("start"), F.least(F.lit(10), F.length("text")).alias("end"))
+def model_rows(spark, sf_dir, labels=("FIRSTNAME", "JOBTITLE", "EMAIL", "NEWLABEL", "IPV4", "ZIPCODE", "AGE")) -> DataFrame:
+    """A model's findings: a label and a score, dealt by place, for every capitalised word."""
+    found = named(spark, sf_dir).select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    at = F.col("doc_id") + F.col("start")
+    return found.select("doc_id", F.element_at(F.array(*map(F.lit, labels)), (F.pmod(at, F.lit(len(labels))) + 1).cast("int")).alias("label"), (F.pmod(at * 37, F.lit(100)) / 100.0).alias("score"), "start", "end")
 
 
 def label_map_threshold(spark, sf_dir):
-    return detect.labelled_spans(model_rows(spark, sf_dir), "classifier").select("doc_id", "pii_type", "score")
+    return detect.labelled_spans(model_rows(spark, sf_dir), "classifier").select("doc_id", F.col("start").cast("long").alias("start"), "pii_type", "score")
 
 
 def external_layer_spans(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = detect.external_spans(docs, model_rows(spark, sf_dir), "classifier")
-    return span_rows(found, F.col("spans"))
+    return span_rows(detect.external_spans(documents(spark, sf_dir), model_rows(spark, sf_dir), "classifier"), F.col("spans"))
+
+
+def analyzer_layer_spans(spark, sf_dir):
+    """Scores on both sides of the threshold: a context word before a span rescues a low one."""
+    found = detect.external_spans(documents(spark, sf_dir), model_rows(spark, sf_dir, ("PERSON", "LOCATION", "EMAIL_ADDRESS", "DATE_TIME", "URL")), "analyzer", words={"PERSON": ["the ", "der "], "EMAIL": [" de "]})
+    rows = found.select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.pii_type").alias("pii_type"), F.col("s.score").alias("score"))
 
 
 CONTEXT_NAMES = ("default", "fine_appeal", "medical", "hr", "embedding", "legal_brief", "unheard_of")
@@ -239,6 +246,68 @@ def mapping_page(spark, sf_dir):
     return reporting.mapping_page(hidden, F.lit(MAPPING_KEY), number=2, size=40).select("id", "original")
 
 
+def mappings_by_context(spark, sf_dir):
+    """Mappings of the asked contexts with their originals; those that don't decrypt are left out."""
+    rows = audit(spark, sf_dir).withColumn("original", F.concat(F.lit("value "), F.col("id").cast("string")))
+    hidden = store.with_encrypted(rows, F.lit(MAPPING_KEY)).withColumn("original_encrypted", F.when(F.col("id") % 4 == 0, "bm90IGVuY3J5cHRlZA==").otherwise(F.col("original_encrypted")))
+    asked = people(spark, sf_dir).where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("context_id"))
+    return store.readable(hidden.join(asked, "context_id", "left_semi"), F.lit(MAPPING_KEY)).select("id", "context_id", "original")
+
+
+def setting_or_default(spark, sf_dir):
+    settings = people(spark, sf_dir).select(F.col("c_name").alias("key"), F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("value"))
+    return settings.agg(store.setting(settings, "Customer#000000007", "none").alias("known"), store.setting(settings, "default_language", "it").alias("unknown"))
+
+
+def audit_sink_rows(spark, sf_dir):
+    rows = reporting.audit_rows(tagged(spark, sf_dir), now())
+    return rows.select("id", "action", "context_id", F.array_join("pii_types_found", " ").alias("types"), F.col("char_count").cast("long").alias("char_count"))
+
+
+def insert_new_keys(spark, sf_dir):
+    """Orders whose keys the table doesn't have go in without a conflict."""
+    rows = orders(spark, sf_dir).select("id", "cust", "status")
+    return store.insert_or_conflict(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["id"])
+
+
+def audit_total(spark, sf_dir):
+    """How many rows all pages of an action have together."""
+    return audit(spark, sf_dir).where("action = 'purchase'").agg(F.count("*").alias("total"))
+
+
+def api_key_count(spark, sf_dir):
+    return people(spark, sf_dir).agg(F.count("*").alias("keys"))
+
+
+def key_last_used(spark, sf_dir):
+    keys = people(spark, sf_dir).select("c_custkey", store.key_hash(F.col("c_name")).alias("key_hash"), (F.col("c_custkey") % 5 != 0).alias("active"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("last_used_at"))
+    asked = audit(spark, sf_dir).join(people(spark, sf_dir), F.col("context_id") == F.col("c_custkey").cast("string")).select(F.col("c_name").alias("api_key"), "created_at")
+    return store.usage(keys, asked).select("c_custkey", "last_used_at")
+
+
+def name_keys(spark, sf_dir):
+    written = F.concat(F.lit("  "), F.upper("c_name"), F.lit("\t de\n la "), F.col("c_custkey").cast("string"))
+    return people(spark, sf_dir).select("c_custkey", tx.name_key(written).alias("key"))
+
+
+def surrogate_cache_join(spark, sf_dir):
+    """Values whose surrogates are stored take the stored one; others are left out here, for they are drawn."""
+    values = surrogate_values(spark, sf_dir)
+    stored = values.where(F.length("text") % 2 == 0).select("context_id", "pii_type", tx.value_hash(F.col("text")).alias("real_hash"), F.concat(F.lit("fake "), F.col("text")).alias("fake_value"))
+    return surrogates.surrogates(values, policy.type_registry(spark), stored).where(F.length("text") % 2 == 0).select("pii_type", "text", "fake_value")
+
+
+def profile_join(spark, sf_dir):
+    """Persons with a stored persona get its name, those of the other contexts an invented one."""
+    values = people(spark, sf_dir).select(F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("context_id"), F.lit("PERSON").alias("pii_type"), F.col("c_name").alias("text"), F.lit("it").alias("language"))
+    stored = people(spark, sf_dir).select(
+        F.lit("a").alias("context_id"), tx.value_hash(F.lower("c_name")).alias("real_hash"), F.lit("Ada").alias("fake_first_name"), F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("fake_last_name"),
+        F.lit("1970-01-01").cast("date").alias("fake_birth_date"), F.lit("F").alias("fake_gender"), F.lit("Roma").alias("fake_city"), F.lit("H501").alias("fake_belfiore"), F.lit("X").alias("fake_cf"),
+    )
+    made = surrogates.surrogates(values, policy.type_registry(spark), stored=stored)
+    return made.select("context_id", "text", F.when(F.col("context_id") == "a", F.col("fake_value")).alias("fake_value"))
+
+
 def distribution_normalised(spark, sf_dir):
     return reporting.distribution(audit(spark, sf_dir), "action")
 
@@ -356,7 +425,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         spans_all_raw, spans_merged_overlap, spans_merged_adjacent, reclassify_by_context, denylist_exact, denylist_contains, context_boost, snap_boundary, bioes_collapse,
-        label_map_threshold, external_layer_spans, policy_resolve, policy_filter, tag_tokens, anonymize_tag, anonymize_all_patterns, mapping_rows_dedup, deanonymize_roundtrip,
+        label_map_threshold, external_layer_spans, analyzer_layer_spans, mappings_by_context, setting_or_default, audit_sink_rows, insert_new_keys, audit_total, api_key_count, key_last_used, name_keys,
+        surrogate_cache_join, profile_join, policy_resolve, policy_filter, tag_tokens, anonymize_tag, anonymize_all_patterns, mapping_rows_dedup, deanonymize_roundtrip,
         insert_if_absent, upsert_last_wins, partial_update, bulk_delete_anti, bulk_delete_count, ttl_delete, stats_breakdown, stats_summary, requests_last_24h, audit_page,
         mapping_page, distribution_normalised, requests_by_window, sha_seed, cf_encode, cf_decode, luhn_imei, salary_parse, date_shift_fixed, locale_lookup, surrogate_simple,
         surrogate_profile, anonymize_surrogate, precision_recall, authorised_requests, config_listing, surrogates_longest_first,
