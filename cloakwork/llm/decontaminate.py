@@ -86,7 +86,7 @@ def _scan(rows: DataFrame, items: list[Row], window: int, kept: list[str]) -> Da
     return rows.mapInArrow(run, f"{schema_of(rows, kept)}, {FOUND}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text, n_words, hits (indexes of hit words), items (ids as text), and ``carry``.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A
@@ -95,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     that repeat an item_id are one item. Repeated documents appear as often as they come in. An empty
     benchmark hits nothing. Other columns, whatever their names, are ignored.
 
-    A benchmark of up to ``block_bytes`` of text is sent to the executors whole; a larger
+    Tables of a benchmark are about 130 times its text in a Python worker. A benchmark of up to ``block_bytes`` of text is sent to the executors whole; a larger
     one is searched for in blocks of about that size, each over all documents.
     """
     benchmark = benchmark.where("item_id is not null and text is not null").select("item_id", "text")

@@ -215,7 +215,7 @@ def date(value: Column, key: Column) -> Column:
 
 
 def phone(value: Column, key: Column) -> Column:
-    """The country code stays; ten to fifteen digits make a number."""
+    """The country code stays; eight to fifteen digits make a number."""
     code = F.regexp_extract(value, r"^\+\d{1,3}[ .-]", 0)
     code = F.when((code == "") & value.startswith("+"), F.substr(value, F.lit(1), F.lit(3))).otherwise(code)
     size = F.length(only(value, "0-9"))
@@ -252,7 +252,10 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     no rows. ``key`` defaults to the session setting spark.cloakwork.pseudonym.key.
     """
     spark = docs.sparkSession
-    key = F.lit(key or spark.conf.get(KEY_SETTING, "unkeyed"))
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}: pseudonyms without a secret key can be undone by anyone")
+    key = F.lit(key)
     found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), 0).alias("found"))
     parts = F.transform("found", lambda v: F.when(v.rlike(f"^(?:{CARD})$"), pieces(v)).otherwise(F.array(v)))
     new = F.transform(parts, lambda p: F.transform(p, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cloakwork.llm import pii
@@ -90,12 +92,14 @@ def test_documents(spark):
     assert re.sub(r"[0-9]", "9", re.sub(r"bob|(?<=mail )[a-z]{3}", "x", by_id[1][0])).replace("999.", "99.").startswith("mail x.99@mail9.example.com")
     assert re.fullmatch(r'token = "[0-9a-f]{40}" AKIA[A-Z0-9]{16}', by_id[3][0]) and by_id[3][0] == by_id[None][0] != token
     assert "42.144.35.254" not in by_id[7][0] and by_id[7][0].startswith("word " * 50_000)
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs)
     assert by_id[8][1] == 5 and not any(v in by_id[8][0] for v in ("826", "190.137.223.204", "4111111111111111", "555-1234", "333 1234567"))
     other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "another key").collect()}
     assert other[1] != by_id[1][0]
 
 
 def test_no_python_in_the_plan(spark, sf):
-    plan = pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet"), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
