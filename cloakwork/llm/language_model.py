@@ -25,7 +25,7 @@ from .line_prints import _span_hashes, mix
 from .lookup import Lookup
 
 #: Bounds of what is held on executors: words and arcs.
-WORDS, ARCS = 1_000_000, 3_000_000
+WORDS, ARCS = 1_000_000, 1_200_000
 #: The count from which a bigram is an arc.
 LEAST = 5
 DISCOUNT = 0.5

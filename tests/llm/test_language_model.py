@@ -54,7 +54,7 @@ def test_tokens():
     assert all(seen.setdefault(w, h) == h for w, h in zip(want, got.tolist())) and len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("words,arcs", [(1_000_000, 3_000_000), (40, 60), (1, 1)])
+@pytest.mark.parametrize("words,arcs", [(1_000_000, 1_200_000), (40, 60), (1, 1)])
 def test_scores(spark, monkeypatch, words, arcs):
     """The bounds of what executors hold change nothing: tiny ones leave all to the joins."""
     monkeypatch.setattr(lm, "WORDS", words)
@@ -75,7 +75,7 @@ def test_unlearned(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)] * 3
 
 
-@pytest.mark.parametrize("words,arcs", [(1_000_000, 3_000_000), (300, 400)])
+@pytest.mark.parametrize("words,arcs", [(1_000_000, 1_200_000), (300, 400)])
 def test_whole_table_and_held_out_gain(spark, sf, monkeypatch, words, arcs):
     monkeypatch.setattr(lm, "WORDS", words)
     monkeypatch.setattr(lm, "ARCS", arcs)
