@@ -25,7 +25,7 @@ from .line_prints import _span_hashes, mix
 from .lookup import Lookup
 
 #: Bounds of what is held on executors: words and arcs.
-WORDS, ARCS = 1_000_000, 1_200_000
+WORDS, ARCS = 1_000_000, 3_000_000
 #: The count from which a bigram is an arc.
 LEAST = 5
 DISCOUNT = 0.5
@@ -186,6 +186,12 @@ class Model:
         return F.log10((c + 0.5) / self.total)
 
 
+def columns(table: DataFrame) -> dict[str, np.ndarray]:
+    """A bounded table as arrays; Arrow keeps it from becoming Python objects on the driver."""
+    found = table.toArrow()
+    return {c: found.column(c).to_numpy() for c in found.column_names}
+
+
 def held_from(table: DataFrame, column: str, most: int) -> int:
     """The least of LEAST, 2 LEAST, 4 LEAST ... that at most ``most`` rows reach."""
     steps = [LEAST << k for k in range(45)]
@@ -199,9 +205,10 @@ def learn(training: DataFrame) -> Model:
     total = tokens + 0.5 * (distinct + 1)
     least_word = held_from(counts, "c", WORDS)
     often = counts.where(F.col("c") >= LEAST)
-    held = counts.where(F.col("c") >= least_word).orderBy(F.desc("c"), "word").toPandas()  # WORDS rows at most
+    frequent = counts.where(F.col("c") >= least_word)
+    held = columns(frequent.select("word"))["word"]  # WORDS rows at most
     known = bitmap_of(often, "word")
-    pairs = materialise(count_bigrams(training, held["word"].to_numpy(np.int64), known), "bigrams")
+    pairs = materialise(count_bigrams(training, held, known), "bigrams")
     seconds = often.select(F.col("word"), F.col("c").alias("c_word"))
     firsts = often.select(F.col("word").alias("history"), F.col("c").alias("c_history"))
     arc, p = (F.col("n") - DISCOUNT) / F.col("c_history"), (F.col("c_word") + 0.5) / total
@@ -217,19 +224,18 @@ def learn(training: DataFrame) -> Model:
 
     among = arcs.where((F.col("c_history") >= least_word) & (F.col("c_word") >= least_word))
     inside = (F.col("c_history") >= least_word) & (F.col("c_word") >= least_word) & (F.col("n") >= held_from(among, "n", ARCS))
-    mine = arcs.where(inside).select("history", "word", F.log10("arc").alias("weight")).mapInArrow(keyed, "key long, weight double").toPandas()  # ARCS rows at most
+    mine = columns(arcs.where(inside).select("history", "word", F.log10("arc").alias("weight")).mapInArrow(keyed, "key long, weight double"))  # ARCS rows at most
     beyond = arcs.where(~inside).withColumnRenamed("word", "second").join(fails.withColumnRenamed("word", "history"), "history")
     beyond = beyond.select("history", "second", (F.log10("arc") - F.col("fail") - F.log10("p")).alias("weight")).mapInArrow(keyed, "key long, weight double").withColumnRenamed("weight", "delta")
     beyond = materialise(beyond, "arcs-joined")
 
-    own = fails.join(counts.where(F.col("c") >= least_word).select("word"), "word").toPandas().set_index("word")["fail"]  # WORDS rows at most
-    words = held["word"].to_numpy(np.int64)
+    own = columns(frequent.join(fails, "word", "left").select("word", "c", F.coalesce("fail", F.lit(0.0)).alias("fail")))  # WORDS rows at most
     automaton = Automaton(
-        words,
-        np.log10((held["c"].to_numpy(float) + 0.5) / total),
-        own.reindex(held["word"]).fillna(0.0).to_numpy(float),
-        mine["key"].to_numpy(np.int64),
-        mine["weight"].to_numpy(float),
+        own["word"],
+        np.log10((own["c"] + 0.5) / total),
+        own["fail"],
+        mine["key"],
+        mine["weight"],
         known,
         bitmap_of(beyond, "key"),
     )
