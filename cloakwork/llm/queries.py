@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -50,6 +50,11 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages conversations by a hash, then repairs them: one row for each conversation."""
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
-ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees, op11_conversation_repair)}
+
+ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE}
