@@ -98,8 +98,8 @@ def test_one_long_conversation(spark):
 def test_turns_and_odd_tables(spark):
     kind = "conv_id long, turn long, role string, text string"
     found = conversation_repair.repair(spark.createDataFrame([(1, 0, "assistant", "A."), (1, 1, "system", "S."), (1, 2, "user", "Q?"), (1, 2, "user", "Q?")], kind))
-    assert [(r.conv_id, r.edit, r.role, r.text) for r in found.turns.orderBy("part", "chunk", "item").collect()] == [(1, "R", "user", "A."), (1, "R", "assistant", "S.")]
-    assert found.summary.first().audit == "RRDD"
+    assert [(r.conv_id, r.edit, r.role, r.text) for r in found.turns.orderBy("part", "chunk", "item").collect()] == [(1, "R", "user", "S."), (1, "R", "assistant", "Q?")]
+    assert found.summary.first().audit == "DRRD"
     assert report(spark, []) == {}
     plan = conversation_repair.repair(spark.createDataFrame([], kind)).turns._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
