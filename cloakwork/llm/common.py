@@ -75,3 +75,13 @@ def text_chunks(batch_iter, text_at: int, most_bytes: int):
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+#: The table of CRC-32 in SQL: eight steps of one shift for each byte.
+CRC_TABLE = "crc_table AS (SELECT [list_reduce(list_prepend(b::UBIGINT, [0::UBIGINT for i in range(8)]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)) for b in range(256)] AS entries)"
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of a text in UTF-8; the query has ``CRC_TABLE`` and takes rows from ``crc_table`` too."""
+    step = "xor(r >> 8, entries[((xor(r, b) & 255) + 1)::BIGINT])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT for i in range(strlen({text}))]), lambda r, b: {step}), 4294967295::UBIGINT)"

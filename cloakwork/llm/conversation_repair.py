@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import CRC_TABLE, crc_sql, materialise
 
 CHUNK = 512
 DELETE, REROLE, INSERT, CUT_OFF = 2, 1, 5, 5
@@ -282,10 +282,6 @@ def repair_report(conversations: DataFrame, chunk: int = CHUNK, parts: int | Non
     return joined.select(*found.summary.columns, F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
 
 
-#: crc32 by its bits: for each byte, eight steps of one shift.
-CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT for c in string_split({0}, '')]), lambda r, b: list_reduce(list_prepend(xor(r, b), [0::UBIGINT for i in range(8)]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
-
-
 def _sql(way: str, cost: str, letter: str) -> str:
     """A way in SQL is one string, cost before audit, so that strings compare as ways do."""
     return f"lpad((left({way}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({way}, 13) || {letter}"
@@ -297,10 +293,11 @@ _ASSISTANT = f"CASE WHEN ini = 'a' THEN {_sql(_OPEN, 'extra', chr(39) + 'K' + ch
 _DROP = [_sql(f"s{i}", "2", "'D'") for i in range(4)]
 
 ORACLE = rf"""
-WITH RECURSIVE base AS (
+WITH RECURSIVE {CRC_TABLE},
+base AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0,
-         {CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h
-  FROM conversations),
+         {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h
+  FROM conversations, crc_table),
 hurt AS (
   SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role0 END AS role,
          CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text,

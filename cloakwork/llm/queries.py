@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, spelling_variants, toxicity
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees, op11_conversation_repair)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, form and root."""
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees, op11_conversation_repair, op12_spelling_variants)}
+
+ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op12_spelling_variants": spelling_variants.ORACLE}
