@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontaminate, exact_dedup, language_id, language_model, line_dedup, packing, pii, quality, simhash, spelling_variants, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, language_id, language_model, line_dedup, mixing, packing, pii, quality, simhash, spelling_variants, toxicity
 from .common import table
 
 
@@ -60,6 +60,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees, op11_conversation_repair, op12_spelling_variants)}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op12_spelling_variants": spelling_variants.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_feistel, op2_ppm, op3_fuzzy_lines, op4_content_sort, op5_simhash, op6_backoff_automaton, op7_wu_manber, op8_packing, op9_weak_supervision, op10_boosted_trees, op11_conversation_repair, op12_spelling_variants, op13_mixing)}
+
+ORACLES = {"op4_content_sort": exact_dedup.ORACLE, "op7_wu_manber": decontaminate.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op12_spelling_variants": spelling_variants.ORACLE, "op13_mixing": mixing.ORACLE}
