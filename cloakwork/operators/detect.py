@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, cut, no_spans, pattern_spans, span
+from ..functions.spans import SPANS, bound, cut, no_spans, paged, pattern_spans, span
 from ..functions.text import UNICODE, literal_map
 from ..sources import seeds
 
@@ -95,7 +95,7 @@ def regex_spans(text: Column, patterns: Iterable[Pattern] = SEEDED + USER) -> Co
     usable = [p for p in patterns if p.compiled is not None]
     native = [p for p in usable if p.group_ends_match]
     other = [p for p in usable if not p.group_ends_match]
-    found = [pattern_spans(text, p.pii_type, p.java, p.group) for p in native]
+    found = [pattern_spans(text, [(p.pii_type, p.java, p.group) for p in native])] if native else []
     if other:
         # The guard keeps texts without a match from going to Python.
         guard = text.rlike("|".join(f"(?:{p.java})" for p in other))
@@ -108,14 +108,15 @@ def boosted(spans: Column, text: Column, words: dict[str, list[str]] | None = No
     words = seeds.CONTEXT_WORDS if words is None else words
     known = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if words else None
 
-    def lifted(s: Column) -> Column:
+    def lifted(s: Column, pages: Column) -> Column:
         if not words:
             return s
-        before = F.lower(cut(text, F.greatest(s["start"] - window, F.lit(0)), s["start"]))
+        before = F.lower(cut(pages, F.greatest(s["start"] - window, F.lit(0)), s["start"]))
         near = F.exists(F.coalesce(F.try_element_at(known, s["pii_type"]), F.array().cast("array<string>")), lambda w: F.contains(before, w))
         return span(s["start"], s["end"], s["pii_type"], s["text"], F.when(near, F.greatest(s["score"], F.lit(raised))).otherwise(s["score"]), s["source"])
 
-    return F.filter(F.transform(spans, lifted), lambda s: s["score"] >= least)
+    raised_ = bound(paged(text), lambda pages: F.transform(spans, lambda s: lifted(s, pages)))
+    return F.when(F.size(spans) > 0, F.filter(raised_, lambda s: s["score"] >= least)).otherwise(spans)
 
 
 LAYERS = {
@@ -146,7 +147,8 @@ def external_spans(docs: DataFrame, found: DataFrame, layer: str, key: str = "do
     rows = labelled_spans(found, layer, low_scores=layer == "analyzer").select(F.col(key).alias("_key"), "start", "end", "pii_type", "score")
     grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("score")).alias("minus"), "end", "pii_type"))).alias("_found"))
     joined = docs.join(grouped, docs[key] == grouped["_key"], "left")
-    made = F.transform(F.coalesce("_found", F.array()), lambda s: span(s["start"], s["end"], s["pii_type"], cut(F.col("text"), s["start"], s["end"]), -s["minus"], F.lit(layer)))
+    one = lambda s, pages: span(s["start"], s["end"], s["pii_type"], cut(pages, s["start"], s["end"]), -s["minus"], F.lit(layer))
+    made = F.when(F.col("_found").isNotNull(), bound(paged(F.col("text")), lambda pages: F.transform("_found", lambda s: one(s, pages)))).otherwise(no_spans())
     if layer == "analyzer":
         made = boosted(made, F.col("text"), words)
     if layer == "classifier":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import rebuild
+from ..functions.spans import SPAN, bound, rebuild, stepwise
 from ..functions.text import token_key
 
 MAPPING = "struct<token:string,original:string,pii_type:string,start:int,end:int,score:double>"
@@ -17,31 +17,38 @@ def with_tokens(spans: Column) -> Column:
     Spans of equal text, without regard to case and outer white space, have the token of the first of
     them, whatever their own type; n counts the values of a type from 1 in order of appearance.
     """
-    keyed = F.transform(spans, lambda s: F.struct(s.alias("span"), token_key(s["text"]).alias("key")))
-
-    def step(state: Column, x: Column) -> Column:
-        known = F.try_element_at(state["tokens"], x["key"])
-        number = F.coalesce(F.try_element_at(state["counts"], x["span"]["pii_type"]), F.lit(0)) + 1
-        token = F.coalesce(known, F.concat(F.lit("["), x["span"]["pii_type"], F.lit("_"), number.cast("string"), F.lit("]")))
-        add = lambda m, k, v: F.map_concat(F.map_filter(m, lambda a, _: a != k), F.create_map(k, v))
-        return F.struct(
-            F.when(known.isNull(), add(state["tokens"], x["key"], token)).otherwise(state["tokens"]).alias("tokens"),
-            F.when(known.isNull(), add(state["counts"], x["span"]["pii_type"], number)).otherwise(state["counts"]).alias("counts"),
-            F.concat(state["out"], F.array(F.struct(x["span"].alias("span"), token.alias("token")))).alias("out"),
-        )
-
-    start = F.struct(
-        F.create_map().cast("map<string,string>").alias("tokens"),
-        F.create_map().cast("map<string,int>").alias("counts"),
-        F.array().cast("array<struct<span:struct<start:int,end:int,pii_type:string,text:string,score:double,source:string>,token:string>>").alias("out"),
-    )
-    return F.aggregate(keyed, start, step, lambda s: s["out"])
+
+    def tokens(xs: Column) -> Column:
+        keyed = F.array_sort(F.transform(xs, lambda s, i: F.struct(token_key(s["text"]).alias("key"), i.alias("i"), s["pii_type"].alias("pii_type"))))
+        # Equal keys stand together now: they get one rank, and the first of them names the type.
+        rank = "struct<i:int,rank:int,pii_type:string,first:boolean>"
+
+        def ranked(last: Column, x: Column) -> tuple[Column, Column]:
+            fresh = F.coalesce(last["key"] != x["key"], F.lit(True))
+            number = last["rank"] + fresh.cast("int")
+            return F.struct(x["key"].alias("key"), number.alias("rank")), F.array(F.struct(x["i"].alias("i"), number.alias("rank"), x["pii_type"].alias("pii_type"), fresh.alias("first")))
+
+        def numbered(last: Column, x: Column) -> tuple[Column, Column]:
+            number = F.when(last["pii_type"].eqNullSafe(x["pii_type"]), last["n"]).otherwise(0) + 1
+            token = F.concat(F.lit("["), x["pii_type"], F.lit("_"), number.cast("string"), F.lit("]"))
+            return F.struct(x["pii_type"].alias("pii_type"), number.alias("n")), F.array(F.struct(x["rank"].alias("rank"), token.alias("token")))
+
+        def named(ranks: Column) -> Column:
+            firsts = F.array_sort(F.transform(F.filter(ranks, lambda r: r["first"]), lambda r: F.struct(r["pii_type"], r["i"], r["rank"])))
+            start = F.struct(F.lit(None).cast("string").alias("pii_type"), F.lit(0).alias("n"))
+            by_rank = F.transform(F.array_sort(stepwise(firsts, start, numbered, "struct<rank:int,token:string>")), lambda t: t["token"])
+            in_order = F.transform(F.array_sort(F.transform(ranks, lambda r: F.struct(r["i"], r["rank"]))), lambda r: r["rank"])
+            return bound(by_rank, lambda names: F.zip_with(xs, in_order, lambda s, r: F.struct(s.alias("span"), F.element_at(names, r).alias("token"))))
+
+        none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("rank"))
+        return bound(stepwise(keyed, none, ranked, rank), named)
+
+    return F.when(F.size(spans) > 0, bound(spans, tokens)).otherwise(F.array().cast(f"array<struct<span:{SPAN},token:string>>"))
 
 
 def replaced(text: Column, tokens: Column) -> Column:
     """The text with each span of ``tokens`` (structs of span and token) replaced."""
-    spans = F.transform(tokens, lambda t: t["span"])
-    return rebuild(text, spans, lambda s, i: F.element_at(tokens, i + 1)["token"])
+    return rebuild(text, F.transform(tokens, lambda t: t["span"]), lambda s, i: F.element_at(tokens, i + 1)["token"])
 
 
 def mappings(tokens: Column) -> Column:

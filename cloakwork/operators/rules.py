@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import changed, cut
+from ..functions.spans import PAGE, bound, changed, cut, paged
 from ..functions.text import UNICODE, strip
 from ..sources import seeds
 
@@ -44,6 +44,7 @@ WORD = "A-Za-z0-9_"
 SECRET_MARKS = r"!@#$%^&*()+=\[\]{}|;:<>?/\\~`"
 SECRET_TYPES = ("SECRET", "PASSWORD")
 TITLE_WINDOW = 15
+WINDOW = 64
 
 
 def reclassify(spans: Column, text: Column, rules: tuple[Rule, ...] = SEEDED) -> Column:
@@ -56,19 +57,20 @@ def reclassify(spans: Column, text: Column, rules: tuple[Rule, ...] = SEEDED) ->
     if not rules:
         return spans
 
-    def new_type(s: Column) -> Column:
+    def new_type(s: Column, pages: Column) -> Column:
         result = None
+        before = {n: cut(pages, F.greatest(s["start"] - n, F.lit(0)), s["start"]) for n in {r.context_window for r in rules if r.context_pattern}}
         for r in rules:
             holds = s["pii_type"] == r.from_type
             if r.context_pattern:
-                holds &= cut(text, F.greatest(s["start"] - r.context_window, F.lit(0)), s["start"]).rlike(UNICODE + r.context_pattern)
+                holds &= before[r.context_window].rlike(UNICODE + r.context_pattern)
             if r.entity_pattern:
                 holds &= s["text"].rlike(UNICODE + r.entity_pattern)
             target = F.lit(DISCARD if r.to_type is None else r.to_type)
             result = F.when(holds, target) if result is None else result.when(holds, target)
         return result.otherwise(s["pii_type"])
 
-    retyped = F.transform(spans, lambda s: changed(s, pii_type=new_type(s)))
+    retyped = bound(paged(text), lambda pages: F.transform(spans, lambda s: changed(s, pii_type=new_type(s, pages))))
     return F.when(F.size(spans) > 0, F.filter(retyped, lambda s: s["pii_type"] != DISCARD)).otherwise(spans)
 
 
@@ -102,24 +104,26 @@ def snap(spans: Column, text: Column) -> Column:
     def length(part: Column, pattern: str) -> Column:
         return F.length(F.regexp_extract(part, pattern, 0))
 
-    def one(s: Column) -> Column:
+    def beyond(pages: Column, end: Column, chars: str) -> Column:
+        """How many characters of a class follow; a word is rarely longer than a window, and the rest is read only where it fills one."""
+        near = length(cut(pages, end, end + WINDOW), f"^[{chars}]*")
+        return F.when(near < WINDOW, near).otherwise(length(cut(pages, end, F.size(pages) * PAGE), f"^[{chars}]*"))
+
+    def one(s: Column, pages: Column) -> Column:
         start = s["start"] + length(s["text"], r"^[ \t]*")
-        after = F.substr(text, s["end"] + 1, F.length(text))
-        end = s["end"] + F.when(s["pii_type"].isin(*SECRET_TYPES), length(after, f"^[{WORD}{SECRET_MARKS}]*")).otherwise(length(after, f"^[{WORD}]*"))
-        inside = cut(text, start, start + 1).rlike(f"[{WORD}]")
-        # A word is rarely longer than a window; the whole text is looked at only where it fills one.
-        near = cut(text, F.greatest(start - 64, F.lit(0)), start)
-        left = length(near, rf"[{WORD}]*\z")
-        left = F.when(left < 64, left).otherwise(length(cut(text, F.lit(0), start), rf"[{WORD}]*\z"))
+        end = s["end"] + F.when(s["pii_type"].isin(*SECRET_TYPES), beyond(pages, s["end"], WORD + SECRET_MARKS)).otherwise(beyond(pages, s["end"], WORD))
+        inside = cut(pages, start, start + 1).rlike(f"[{WORD}]")
+        left = length(cut(pages, F.greatest(start - WINDOW, F.lit(0)), start), rf"[{WORD}]*\z")
+        left = F.when(left < WINDOW, left).otherwise(length(cut(pages, F.lit(0), start), rf"[{WORD}]*\z"))
         start = start - F.when(inside, left).otherwise(0)
-        return F.transform(F.array(F.struct(start.alias("start"), end.alias("end"))), lambda p: finish(s, p["start"], p["end"]))[0]
+        return bound(F.struct(start.alias("start"), end.alias("end")), lambda p: finish(s, p["start"], p["end"], pages))
 
-    def finish(s: Column, start: Column, end: Column) -> Column:
+    def finish(s: Column, start: Column, end: Column, pages: Column) -> Column:
         person = s["pii_type"] == "PERSON"
-        before = cut(text, F.greatest(start - TITLE_WINDOW, F.lit(0)), start)
+        before = cut(pages, F.greatest(start - TITLE_WINDOW, F.lit(0)), start)
         titled = start - F.when(person, length(before, UNICODE + TITLES)).otherwise(0)
-        at = titled + F.when(person, length(cut(text, titled, end), UNICODE + KINSHIP)).otherwise(0)
+        at = titled + F.when(person, length(cut(pages, titled, end), UNICODE + KINSHIP)).otherwise(0)
         same = (at >= end) | ((at == s["start"]) & (end == s["end"]))
-        return F.when(same, s).otherwise(changed(s, start=at, end=end, text=cut(text, at, end), source=F.lit("")))
+        return F.when(same, s).otherwise(changed(s, start=at, end=end, text=cut(pages, at, end), source=F.lit("")))
 
-    return F.when(F.size(spans) > 0, F.transform(spans, one)).otherwise(spans)
+    return F.when(F.size(spans) > 0, bound(paged(text), lambda pages: F.transform(spans, lambda s: one(s, pages)))).otherwise(spans)
