@@ -80,27 +80,51 @@ def mapping_rows(anonymised: DataFrame) -> DataFrame:
 
 #: What a token looks like; other tokens are surrogate values.
 TOKEN = r"\[[^\[\]]*_[0-9]+\]"
+#: Spans end with their words, so a surrogate value stands between characters that aren't these.
+WORD = "[A-Za-z0-9_]"
+KEYS = ["context_id", "context_type"]
+
+
+def anchored(stored: DataFrame) -> DataFrame:
+    """(context_id, context_type, token, original) rows with the ``anchor`` by which a text finds them, one row for each token.
+
+    A token of the form ``TOKEN`` is its own anchor; of any other, the word that the fewest of its context have, of several the longest;
+    "" if it has no word. Of several originals of a token the least is used.
+    """
+    token = F.col("token")
+    words = F.array_distinct(F.regexp_extract_all(token, F.lit(f"{WORD}+"), 0))
+    words = F.when(token.rlike(f"^(?:{TOKEN})$"), F.array(token)).when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
+    rows = stored.where("token <> ''").select(*KEYS, "token", "original", F.explode(words).alias("word"))
+    counts = rows.groupBy(*KEYS, "word").agg(F.count("*").alias("n"))
+    best = F.min(F.struct("n", (-F.length("word")).alias("minus"), "word", "original")).alias("best")
+    return rows.join(counts, [*KEYS, "word"]).groupBy(*KEYS, "token").agg(best, F.min("original").alias("original")).select(*KEYS, "token", "original", F.col("best.word").alias("anchor"))
 
 
 def deanonymise(texts: DataFrame, stored: DataFrame) -> DataFrame:
     """texts (context_id, context_type, text, …) with restored_text: every token of the context is replaced.
 
-    Only mappings of the same context and context type are used. Tokens are cut out of each text and joined with the
-    mappings, so a text meets the tokens it holds and not all of its context's. Surrogate values have no
-    form of their own: they are looked for in the texts of their context, and replaced after the tokens, longest first.
+    Only mappings of the same context and context type are used. A text's tokens and words are joined with the anchors of the
+    mappings, so it meets those that it holds, or shares a rare word with, and not all of its context's. Surrogate values are replaced
+    after the tokens, longest first, where they stand as words of their own: "Rossi" isn't restored within "Rossini". A null text
+    stays null; a null context has no mappings.
     """
-    keys = ["context_id", "context_type"]
-    marked = texts.withColumn("_id", F.sha2(F.concat_ws("\0", *keys, "text"), 256))
-    asked = marked.where("text is not null").select("_id", *keys, "text")
-    named = F.col("token").rlike(f"^(?:{TOKEN})$")
-    held = asked.select("_id", *keys, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 0))).alias("token"))
-    by_token = held.join(stored.where(named).select(*keys, "token", "original"), [*keys, "token"]).select("_id", "token", "original", F.lit(True).alias("named"))
-    by_value = asked.join(stored.where(~named & (F.col("token") != "")).select(*keys, "token", "original"), keys).where(F.contains("text", "token")).select("_id", "token", "original", F.lit(False).alias("named"))
-    found = by_token.unionAll(by_value).groupBy("_id", "token", "named").agg(F.min("original").alias("original"))
+    marked = texts.withColumn("_id", F.sha2(F.concat_ws("\0", *KEYS, "text"), 256))
+    parts = F.concat(*[F.regexp_extract_all("text", F.lit(p), 0) for p in (TOKEN, f"{WORD}+")], F.array(F.lit("")))
+    # An inner explode would have Spark test the list's size first, below the projections that made the text, which computes them again.
+    held = marked.select("_id", *KEYS, F.explode_outer(F.array_distinct(parts)).alias("anchor")).distinct()
+    named = F.col("token").rlike(f"^(?:{TOKEN})$").alias("named")
+    found = held.join(anchored(stored), [*KEYS, "anchor"]).select("_id", "token", "original", named)
     entry = lambda condition: F.collect_list(F.when(condition, F.struct((-F.length("token")).alias("order"), "token", "original")))
     found = found.groupBy("_id").agg(entry(F.col("named")).alias("_tokens"), F.array_sort(entry(~F.col("named"))).alias("_values"))
     originals = F.map_from_entries(F.transform("_tokens", lambda t: F.struct(t["token"], t["original"])))
     pieces = F.zip_with(F.split("text", TOKEN, -1), F.regexp_extract_all("text", F.lit(TOKEN), 0), lambda gap, token: F.concat(gap, F.coalesce(F.try_element_at("_originals", token), token, F.lit(""))))
-    restored = F.aggregate("_values", F.array_join(pieces, ""), lambda text, t: F.replace(text, t["token"], t["original"]))
+
+    def put_back(text: Column, v: Column) -> Column:
+        edge = lambda at, look: F.when(F.substr(v["token"], F.lit(at), F.lit(1)).rlike(WORD), look).otherwise("")
+        literal = F.concat(F.lit("\\Q"), F.replace(v["token"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        pattern = F.concat(edge(1, f"(?<!{WORD})"), literal, edge(-1, f"(?!{WORD})"))
+        return F.when(F.contains(text, v["token"]), F.regexp_replace(text, pattern, F.regexp_replace(v["original"], r"([\\$])", r"\\$1"))).otherwise(text)
+
+    restored = F.aggregate("_values", F.array_join(pieces, ""), put_back)
     joined = marked.join(found.select("_id", originals.alias("_originals"), "_values"), "_id", "left")
     return joined.withColumn("restored_text", F.coalesce(restored, F.col("text"))).select(*texts.columns, "restored_text")

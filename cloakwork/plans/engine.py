@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.spans import merge, no_spans
 from ..functions.text import token_key
 from ..operators import detect, policy, replace, rules, surrogates
+from ..operators.layers import Layers, PatternLayer
 from ..sources import store
 
 
+#: The number of a written row.
+ROW = "_cloakwork_row"
+
+
 @dataclass(frozen=True)
 class Config:
     """What a plan is built with; a later change of the tables needs a new plan."""
@@ -41,12 +46,6 @@ class Config:
         return Config(found, kept, {k: (frozenset(w), tuple(p)) for k, (w, p) in lists.items()}, near)
 
 
-def detected(text: Column, config: Config, others: Column | None = None) -> Column:
-    """The spans of pattern and other layers before any adjustment."""
-    found = detect.regex_spans(text, config.patterns)
-    return found if others is None else F.concat(found, F.coalesce(others, no_spans()))
-
-
 @dataclass
 class PiiEngine:
     spark: SparkSession
@@ -56,6 +55,7 @@ class PiiEngine:
     registry: DataFrame | None = None
     stored_surrogates: DataFrame | None = None  # context_id, pii_type, real_hash, fake_value
     stored_profiles: DataFrame | None = None  # context_id, real_hash and surrogates.PERSONA
+    layers: Layers | None = None  # None: the patterns of ``config``
     scratch: list = field(default_factory=list)
 
     def __post_init__(self):
@@ -64,12 +64,15 @@ class PiiEngine:
         self.registry = self.registry or policy.type_registry(self.spark)
 
     def detect(self, docs: DataFrame, layers: str | None = None) -> DataFrame:
-        """docs (doc_id, text, …) with ``spans``; ``layers`` names a column of spans from other layers.
+        """docs (doc_id, text, …) with ``spans`` of the engine's layers; ``layers`` names a column of further spans.
 
         Each stage is a projection of its own over one row, so a long expression is computed once.
         """
         text = F.col("text")
-        docs = docs.withColumn("spans", detected(text, self.config, F.col(layers) if layers else None))
+        registered = self.layers or Layers.of([PatternLayer(self.config.patterns)])
+        docs = registered.find(docs)
+        if layers:
+            docs = docs.withColumn("spans", F.concat("spans", F.coalesce(layers, no_spans())))
         docs = docs.withColumn("spans", merge(F.col("spans"), text))
         docs = docs.withColumn("spans", rules.allowed(rules.reclassify(F.col("spans"), text, self.config.rules), self.config.denylist))
         docs = docs.withColumn("spans", rules.snap(F.col("spans"), text))
@@ -80,13 +83,15 @@ class PiiEngine:
         entity_count, pii_types_found, entities (the last in the text first) and mode.
 
         A null text has no entities. In tag mode, types that a policy gives surrogates still show tags, unless
-        ``per_type_surrogate``. If any document needs surrogates, all are searched once and written with their spans to the
-        shared folder (``clear`` deletes them); those that need none aren't shuffled.
+        ``per_type_surrogate``. Requests that need surrogates are searched once and written with their spans to the
+        shared folder (``clear`` deletes them); each written row has a number of its own, so ids may be null or repeated, and a null
+        context is a context. A value for which no surrogate is made, or one that equals it, shows its tag.
         """
-        rows, asked = self._tokens(docs, layers), self._asked(per_type_surrogate)
-        if not policy.resolve(docs, self.contexts, self.policies).where(asked).isEmpty():
-            rows = self._settled(rows)
-            rows = rows.where(~asked).unionByName(self._with_surrogates(rows.where(asked), per_type_surrogate))
+        resolved, asked = policy.resolve(docs, self.contexts, self.policies), self._asked(per_type_surrogate)
+        rows = self._tokens(docs, layers)
+        if not resolved.where(asked).isEmpty():
+            wanting = self._with_surrogates(self._settled(self._tokens(resolved.where(asked).select(docs.columns), layers)), per_type_surrogate)
+            rows = self._tokens(resolved.where(~asked).select(docs.columns), layers).unionByName(wanting)
         return rows.withColumns(
             {
                 "anonymized_text": replace.replaced(F.col("text"), F.col("tokens")),
@@ -98,8 +103,8 @@ class PiiEngine:
 
     def new_surrogates(self, docs: DataFrame, layers: str | None = None, per_type_surrogate: bool = False) -> tuple[DataFrame, DataFrame]:
         """What an anonymise run adds to the stored surrogates and to the stored profiles: rows whose keys they don't have."""
-        rows = self._settled(self._tokens(docs, layers)).where(self._asked(per_type_surrogate))
-        distinct = self._distinct(self._firsts(rows))
+        asking = policy.resolve(docs, self.contexts, self.policies).where(self._asked(per_type_surrogate)).select(docs.columns)
+        distinct = self._distinct(self._firsts(self._settled(self._tokens(asking, layers))))
         made = surrogates.surrogates(distinct, self.registry, self.stored_surrogates, self.stored_profiles).where(~F.col("pii_type").isin("PERSON", "FISCAL_CODE")).drop("text")
         people = surrogates.profiles_of(distinct, self.stored_profiles).select("context_id", "real_hash", *surrogates.PERSONA)
         fresh = lambda new, old, keys: store.new_rows(old if old is not None else new.limit(0), new, keys, [F.lit(0)])
@@ -111,7 +116,11 @@ class PiiEngine:
         return asked | (F.size("surrogate") > 0) if per_type else asked
 
     def _tokens(self, docs: DataFrame, layers: str | None) -> DataFrame:
-        """Requests with their policies, and their spans with tokens. A filter below the search would blow up its plan."""
+        """Requests with their policies, and their spans with tokens.
+
+        The policies' join stands between search and replacement: Spark pushes a later filter down through projections, and
+        a copy of each expression with it, but not expressions of one side through a join.
+        """
         rows = policy.resolve(self.detect(docs, layers), self.contexts, self.policies)
         rows = rows.withColumn("spans", policy.protected(F.col("spans"), F.col("protect"), F.col("keep"), F.col("surrogate")))
         return rows.withColumn("tokens", replace.with_tokens(F.col("spans")))
@@ -119,11 +128,11 @@ class PiiEngine:
     def _firsts(self, rows: DataFrame) -> DataFrame:
         """The values of requests that need surrogates, without their texts."""
         language = F.coalesce("language", F.lit("it")) if "language" in rows.columns else F.lit("it")
-        values = rows.select("doc_id", "context_id", language.alias("language"), F.explode("spans").alias("s")).select("doc_id", "context_id", "language", "s.pii_type", "s.text", "s.start")
-        return surrogates.first_forms(values)
+        values = rows.select(ROW, "context_id", language.alias("language"), F.explode("spans").alias("s")).select(ROW, "context_id", "language", "s.pii_type", "s.text", "s.start")
+        return surrogates.first_forms(values, ROW)
 
     def _settled(self, rows: DataFrame) -> DataFrame:
-        table, path = store.settled(rows)
+        table, path = store.settled(rows.withColumn(ROW, F.monotonically_increasing_id()))
         self.scratch.append(path)
         return table
 
@@ -152,8 +161,9 @@ class PiiEngine:
         taken from what is stored."""
         firsts = self._firsts(rows)
         made = surrogates.surrogates(self._distinct(firsts), self.registry, self.stored_surrogates, self.stored_profiles)
-        fakes = firsts.join(made, ["context_id", "pii_type", "text"]).groupBy("doc_id", "context_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "fake_value"))).alias("_fakes"))
-        joined = rows.join(fakes.withColumnRenamed("doc_id", "_doc").withColumnRenamed("context_id", "_context"), (F.col("doc_id") == F.col("_doc")) & F.col("context_id").eqNullSafe(F.col("_context")), "left")
+        known = surrogates.joined(firsts, made, ["context_id", "pii_type", "text"]).where(F.lower("fake_value") != F.lower("text"))
+        fakes = known.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "fake_value"))).alias("_fakes"))
+        found = rows.join(fakes, ROW, "left")
         wanted = (lambda s: (F.col("mode") == "surrogate") | F.array_contains("surrogate", s["pii_type"])) if per_type else (lambda s: F.col("mode") == "surrogate")
-        fake = lambda t: F.struct(t["span"].alias("span"), F.when(wanted(t["span"]), F.coalesce(F.try_element_at("_fakes", token_key(t["span"]["text"])), t["span"]["text"])).otherwise(t["token"]).alias("token"))
-        return joined.withColumn("tokens", F.transform("tokens", fake)).drop("_doc", "_context", "_fakes")
+        fake = lambda t: F.struct(t["span"].alias("span"), F.when(wanted(t["span"]), F.coalesce(F.try_element_at("_fakes", token_key(t["span"]["text"])), t["token"])).otherwise(t["token"]).alias("token"))
+        return found.withColumn("tokens", F.transform("tokens", fake)).drop(ROW, "_fakes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .queries import CONTEXT_NAMES, ENDS, NAME
 from ..sources import seeds
+from ..sources.locales import LOCALES
 
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"
 EMAIL, CARD, IP, PHONE = (
@@ -102,6 +103,50 @@ WITH c AS (
   coded AS (SELECT c_custkey, partial || chr(CAST(total % 26 + 65 AS INT)) AS cf FROM k)
 """
 
+
+
+def hashed(salt: str, digits: int = 8) -> str:
+    """A number from the first hexadecimal digits of the SHA-256 of key and salt."""
+    return f"('0x' || left(sha256(key || '|{salt}'), {digits}))::BIGINT"
+
+
+def chosen(values: str, salt: str) -> str:
+    return f"{values}[{hashed(salt)} % len({values}) + 1]"
+
+
+def filled(form: str, salt: str) -> str:
+    byte = f"('0x' || substr(sha256(key || '|{salt}'), 2 * (i % 32) + 1, 2))::INT"
+    one = f"CASE substr({form}, i + 1, 1) WHEN '#' THEN ({byte} % 10)::VARCHAR WHEN '?' THEN chr({byte} % 26 + 65) ELSE substr({form}, i + 1, 1) END"
+    return f"list_aggregate([{one} for i in range(length({form}))], 'string_agg', '')"
+
+
+def remainder97(text: str) -> str:
+    """The remainder by 97 of a text in which letters stand for two digits."""
+    number = f"list_aggregate([CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE (ascii(x) - 55)::VARCHAR END for x in string_split({text}, '')], 'string_agg', '')"
+    return f"list_reduce(list_prepend(0::BIGINT, [d::BIGINT for d in string_split({number}, '')]), lambda a, d: (a * 10 + d) % 97)"
+
+
+def texts_of(values: list[str]) -> str:
+    return "[" + ", ".join(map(quoted, values)) + "]"
+
+
+SURROGATE_LOCALES = f"""
+WITH tables(place, locale, firsts, lasts, towns, streets, address, phones, country, account) AS (VALUES {", ".join(f"({i}, '{n}', {texts_of(x.first_names)}, {texts_of(x.last.split())}, {texts_of(x.towns.split(','))}, {texts_of(x.streets.split(','))}, {quoted(x.address)}, {texts_of(list(x.phones))}, '{x.country}', '{x.account}')" for i, (n, x) in enumerate(LOCALES.items()))}),
+  keyed AS (SELECT *, c_name || '|ctx|' || locale AS key FROM customer JOIN tables ON c_custkey % {len(LOCALES)} = place),
+  made AS (SELECT *, {chosen("firsts", "first")} || ' ' || {chosen("lasts", "last")} AS person, {chosen("towns", "town")} AS city, {chosen("phones", "phone")} AS form,
+                  {filled("address", "address")} AS place_form, {filled("account", "account")} AS number FROM keyed),
+  checked AS (SELECT *, {remainder97("(number || country || '00')")} AS r FROM made),
+  whole AS (SELECT *, country || right('0' || (98 - r), 2) || number AS iban FROM checked)
+SELECT c_custkey, locale, person, city, {filled("form", "line")} AS phone, iban,
+       replace(replace(replace(place_form, '{{street}}', {chosen("streets", "street")}), '{{number}}', ({hashed("number")} % 254 + 1)::VARCHAR), '{{town}}', city) AS address,
+       {remainder97("(iban[5:] || iban[:4])")} AS remainder
+FROM whole"""
+
+LAYERED = "WITH mails AS (" + spans("EMAIL", EMAIL) + "), runs AS (" + spans("URL", r"[^ \n\r\t]*@[^ \n\r\t]*") + "), numbers AS (" + spans("IP_ADDRESS", IP) + """)
+SELECT doc_id, "start", "end", pii_type, 'regex' AS source FROM mails
+UNION ALL SELECT doc_id, "start", "end", pii_type, 'mail' FROM runs r WHERE NOT EXISTS (SELECT 1 FROM mails m WHERE m.doc_id = r.doc_id AND m."start" < r."end" AND r."start" < m."end")
+UNION ALL SELECT doc_id, "start", "end", pii_type, 'model' FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM runs m WHERE m.doc_id = n.doc_id AND m."start" < n."end" AND n."start" < m."end")"""
+
 CLASSES = ", ".join(f"('{label}', {quoted(code) if code else 'NULL'})" for code, labels in seeds.CLASSIFIER_LABELS.items() for label in labels.split())
 NAMED = spans("PERSON", NAME)
 
@@ -239,8 +284,11 @@ WITH truth AS (SELECT doc_id, "start", "end", pii_type FROM ({union(spans("EMAIL
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall,
        CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1 FROM c""",
     "authorised_requests": "SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 5 <> 0",
-    "config_listing": "SELECT * FROM (VALUES "
-    + ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(c)}, {quoted(d)}, {quoted(e) if e else 'NULL'}, {f}, true)" for a, b, c, d, e, f in seeds.PII_TYPES)
-    + ") AS t(code, category, display_name, default_action, faker_strategy, reversible, enabled)",
+    "config_listing": """SELECT id, code, true AS enabled, row_number() OVER (PARTITION BY code ORDER BY id) AS place
+FROM (SELECT p_partkey AS id, 'TYPE_' || (p_partkey % 7) AS code FROM part WHERE p_partkey % 3 <> 0)""",
+    "surrogate_locales": SURROGATE_LOCALES,
+    "surrogate_leaks": TAGGED + "SELECT d.doc_id AS nth, coalesce(n, 0)::BIGINT AS entities, 0::BIGINT AS in_clear, n IS NULL AS unchanged FROM documents d LEFT JOIN rebuilt USING (doc_id)",
+    "deanonymize_surrogates": "SELECT doc_id, text AS restored_text FROM documents",
+    "layers_by_priority": LAYERED,
     "surrogates_longest_first": "SELECT c_custkey, c_name AS fake_value, rank() OVER (PARTITION BY length(c_name) ORDER BY c_name) AS rank FROM customer",
 }

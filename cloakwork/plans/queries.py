@@ -11,6 +11,8 @@ from ..operators import detect, policy, replace, reporting, rules, surrogates
 from ..operators.detect import Pattern
 from ..sources import store
 from .engine import Config, PiiEngine
+from ..operators import layers
+from ..sources.locales import LOCALES
 
 EMAIL = next(p for p in detect.SEEDED if p.pii_type == "EMAIL")
 ACCOUNT = next(p for p in detect.SEEDED if p.pii_type == "ACCOUNT")
@@ -123,6 +125,33 @@ def analyzer_layer_spans(spark, sf_dir):
     return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.pii_type").alias("pii_type"), F.col("s.score").alias("score"))
 
 
+def mail_like(texts: list[str], languages: list[str]) -> list:
+    """A detector in Python: runs around an at sign."""
+    import re
+
+    return [[(m.start(), m.end(), "URL", 0.8) for m in re.finditer(r"[^ \n\r\t]*@[^ \n\r\t]*", t)] for t in texts]
+
+
+def failing(texts: list[str], languages: list[str]) -> list:
+    raise RuntimeError("no model")
+
+
+def layers_by_priority(spark, sf_dir):
+    """Four layers, of which one isn't available and one fails on every text; patterns win over the models' overlapping spans."""
+    docs = documents(spark, sf_dir).withColumn("from_model", F.transform(detect.regex_spans(F.col("text"), (IP,)), lambda s: span(s["start"], s["end"], s["pii_type"], s["text"], F.lit(0.7), F.lit("model"))))
+    registry = layers.Layers.of([
+        layers.PatternLayer((EMAIL,)),
+        layers.ColumnLayer("from_model", "model", 20),
+        layers.ArrowLayer(mail_like, "mail", 10, guard="@"),
+        layers.ArrowLayer(failing, "failing", 5),
+        layers.FindingsLayer(None, "classifier", 25),
+        layers.ArrowLayer(mail_like, "off", 1),
+    ], {"off": {"enabled": False}})
+    found = registry.find(docs)
+    rows = found.select("doc_id", F.explode(resolve_overlaps(F.col("spans"))).alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.pii_type").alias("pii_type"), F.col("s.source").alias("source"))
+
+
 CONTEXT_NAMES = ("default", "fine_appeal", "medical", "hr", "embedding", "legal_brief", "unheard_of")
 
 
@@ -174,6 +203,23 @@ def deanonymize_roundtrip(spark, sf_dir):
     return replace.deanonymise(texts, replace.mapping_rows(found)).select("doc_id", "restored_text")
 
 
+def deanonymize_surrogates(spark, sf_dir):
+    """Each document is its own context; what surrogates have replaced comes back from the stored texts and mappings."""
+    docs = requests(spark, sf_dir, "surrogate").withColumn("context_id", F.col("doc_id").cast("string"))
+    found, _ = store.settled(PiiEngine(spark, BUNDLED).anonymise(docs))
+    texts = found.select("doc_id", "context_id", "context_type", F.col("anonymized_text").alias("text"))
+    return replace.deanonymise(texts, replace.mapping_rows(found)).select("doc_id", "restored_text")
+
+
+def surrogate_leaks(spark, sf_dir):
+    """Requests with repeated and null ids and contexts: how many values were protected, and how many stand where they stood."""
+    docs = requests(spark, sf_dir, "surrogate").withColumn("nth", F.col("doc_id"))
+    odd = docs.withColumns({"doc_id": F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("doc_id") % 5), "context_id": F.when(F.col("doc_id") % 2 == 0, F.col("context_id"))})
+    found = PiiEngine(spark, BUNDLED).anonymise(odd)
+    kept = F.size(F.filter("entities", lambda e: F.lower(e["token"]) == F.lower(e["original"])))
+    return found.select("nth", F.col("entity_count").cast("long").alias("entities"), kept.cast("long").alias("in_clear"), (F.col("anonymized_text") == F.col("text")).alias("unchanged"))
+
+
 def orders(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
 
@@ -381,6 +427,15 @@ def surrogate_simple(spark, sf_dir):
     return surrogates.surrogates(surrogate_values(spark, sf_dir), policy.type_registry(spark))
 
 
+def surrogate_locales(spark, sf_dir):
+    """Customers in twelve locales: name, town, address, telephone and account number, with the number's remainder by 97."""
+    names = F.array(*map(F.lit, LOCALES))
+    rows = people(spark, sf_dir).select("c_custkey", "c_name", F.element_at(names, (F.pmod("c_custkey", F.lit(len(LOCALES))) + 1).cast("int")).alias("locale"))
+    made = {k: surrogates.generate(F.lit(k), F.col("c_name"), F.lit("ctx"), F.col("locale")) for k in ("person", "city", "address", "phone", "iban")}
+    found = rows.select("c_custkey", "locale", *[c.alias(k) for k, c in made.items()])
+    return found.withColumn("remainder", surrogates.mod97(F.concat(F.expr("substring(iban, 5)"), F.substring("iban", 1, 4))).cast("long"))
+
+
 def surrogate_profile(spark, sf_dir):
     return surrogates.profiles(people(spark, sf_dir).select(F.lit("ctx").alias("context_id"), F.lower("c_name").alias("profile_key"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M").alias("gender")))
 
@@ -405,8 +460,11 @@ def authorised_requests(spark, sf_dir):
 
 
 def config_listing(spark, sf_dir):
-    del sf_dir
-    return store.scan(policy.type_registry(spark), "category", "code", enabled_only=True)
+    """The parts as a table of settings: its enabled rows, in order."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(F.lit("TYPE_"), (key % 7).cast("string")).alias("code"), (key % 3 != 0).alias("enabled"))
+    listed = store.scan(rows, "code", "id", enabled_only=True)
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id")))
 
 
 def surrogates_longest_first(spark, sf_dir):
@@ -429,6 +487,6 @@ QUERIES = {
         surrogate_cache_join, profile_join, policy_resolve, policy_filter, tag_tokens, anonymize_tag, anonymize_all_patterns, mapping_rows_dedup, deanonymize_roundtrip,
         insert_if_absent, upsert_last_wins, partial_update, bulk_delete_anti, bulk_delete_count, ttl_delete, stats_breakdown, stats_summary, requests_last_24h, audit_page,
         mapping_page, distribution_normalised, requests_by_window, sha_seed, cf_encode, cf_decode, luhn_imei, salary_parse, date_shift_fixed, locale_lookup, surrogate_simple,
-        surrogate_profile, anonymize_surrogate, precision_recall, authorised_requests, config_listing, surrogates_longest_first,
+        surrogate_profile, surrogate_locales, surrogate_leaks, deanonymize_surrogates, layers_by_priority, anonymize_surrogate, precision_recall, authorised_requests, config_listing, surrogates_longest_first,
     )
 }
