@@ -1,14 +1,14 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a smoothed bigram model: every bigram that occurs LEAST times or more is an arc of its first word's
+The model is a smoothed bigram model: every bigram that occurs ``least`` times or more is an arc of its first word's
 state, with its log probability; a failure arc, with the state's backoff weight, leads to the empty history, which has
 an arc for every word. One pass over a text, left to right, carries the state and adds up the weights.
 
-All counts cover the whole training corpus, by Spark aggregations over 64-bit hashes of words, and LEAST doesn't depend
-on its size. The executors hold a part of the automaton, bounded by construction: words with at least 1 / ``WORDS`` of all
-tokens and arcs between them with at least 1 / ``ARCS`` of them, so there are at most that many. What the pass
-meets beyond that, it emits: a word that isn't held, and a bigram without a held arc that a bitmap of fixed size
-doesn't rule out. Joins with the tables of all words and arcs add their weights, so no count is dropped.
+All counts cover the whole training corpus, by Spark aggregations over 64-bit hashes of words. ``least`` doesn't depend on its
+size; 1 keeps every bigram, and rarer ones than ``least`` are left to the lower order. The executors hold a part of the
+automaton, bounded by construction: the most frequent words, ``WORDS`` of them at most, and the most frequent arcs between them,
+``ARCS`` at most. What the pass meets beyond that, it emits: a word that isn't held, and a bigram without a held arc that a bitmap of fixed size
+doesn't rule out. Joins with the tables of all words and arcs add their weights, so of the bigrams from ``least`` on none is dropped.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .lookup import Lookup
 
 #: Bounds of what is held on executors: words and arcs.
 WORDS, ARCS = 1_000_000, 3_000_000
-#: The count from which a bigram is an arc.
-LEAST = 5
+#: The count from which a bigram is an arc, unless ``least`` says otherwise.
+LEAST = 2
 DISCOUNT = 0.5
 #: Bits of the maps that rule out words and bigrams.
 BITMAP = 1 << 26
@@ -99,7 +99,7 @@ def may_be(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
-def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray) -> DataFrame:
+def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray, least: int = LEAST) -> DataFrame:
     """(history, word, n): bigrams of words that ``words`` (a bitmap) doesn't rule out, by hash; bigrams of ``held`` words are
     shuffled by their numbers, which are shorter."""
     shared = docs.sparkSession.sparkContext.broadcast((held, words))
@@ -133,7 +133,7 @@ def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(history), pa.array(word), batch.column(3)], ["history", "word", "n"])
 
     found = docs.select("text").mapInArrow(run, "history long, word long, numbered boolean, n long").groupBy("history", "word", "numbered").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= LEAST).mapInArrow(named, "history long, word long, n long")
+    return found.where(F.col("n") >= least).mapInArrow(named, "history long, word long, n long")
 
 
 @dataclass
@@ -192,23 +192,23 @@ def columns(table: DataFrame) -> dict[str, np.ndarray]:
     return {c: found.column(c).to_numpy() for c in found.column_names}
 
 
-def held_from(table: DataFrame, column: str, most: int) -> int:
-    """The least of LEAST, 2 LEAST, 4 LEAST ... that at most ``most`` rows reach."""
-    steps = [LEAST << k for k in range(45)]
+def held_from(table: DataFrame, column: str, most: int, least: int) -> int:
+    """The least of ``least``, its double, its fourfold ... that at most ``most`` rows reach."""
+    steps = [least << k for k in range(45)]
     reached = table.agg(*[F.count_if(F.col(column) >= x) for x in steps]).first()
     return next(x for x, n in zip(steps, reached) if n <= most)
 
 
-def learn(training: DataFrame) -> Model:
+def learn(training: DataFrame, least: int = LEAST) -> Model:
     counts = materialise(count_words(training), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = tokens + 0.5 * (distinct + 1)
-    least_word = held_from(counts, "c", WORDS)
-    often = counts.where(F.col("c") >= LEAST)
+    least_word = held_from(counts, "c", WORDS, least)
+    often = counts.where(F.col("c") >= least)
     frequent = counts.where(F.col("c") >= least_word)
     held = columns(frequent.select("word"))["word"]  # WORDS rows at most
     known = bitmap_of(often, "word")
-    pairs = materialise(count_bigrams(training, held, known), "bigrams")
+    pairs = materialise(count_bigrams(training, held, known, least), "bigrams")
     seconds = often.select(F.col("word"), F.col("c").alias("c_word"))
     firsts = often.select(F.col("word").alias("history"), F.col("c").alias("c_history"))
     arc, p = (F.col("n") - DISCOUNT) / F.col("c_history"), (F.col("c_word") + 0.5) / total
@@ -223,7 +223,7 @@ def learn(training: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(bigram(history, word)), batch.column(2)], ["key", "weight"])
 
     among = arcs.where((F.col("c_history") >= least_word) & (F.col("c_word") >= least_word))
-    inside = (F.col("c_history") >= least_word) & (F.col("c_word") >= least_word) & (F.col("n") >= held_from(among, "n", ARCS))
+    inside = (F.col("c_history") >= least_word) & (F.col("c_word") >= least_word) & (F.col("n") >= held_from(among, "n", ARCS, least))
     mine = columns(arcs.where(inside).select("history", "word", F.log10("arc").alias("weight")).mapInArrow(keyed, "key long, weight double"))  # ARCS rows at most
     beyond = arcs.where(~inside).withColumnRenamed("word", "second").join(fails.withColumnRenamed("word", "history"), "history")
     beyond = beyond.select("history", "second", (F.log10("arc") - F.col("fail") - F.log10("p")).alias("weight")).mapInArrow(keyed, "key long, weight double").withColumnRenamed("weight", "delta")
@@ -244,7 +244,7 @@ def learn(training: DataFrame) -> Model:
     return Model(automaton, counts, least_word, fails, beyond, tokens, total)
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))); ``score`` is the log10
@@ -252,7 +252,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     end. Without any training text every token is unknown. Repeated rows appear as often as they come in; other columns
     are ignored; an empty table gives no rows.
     """
-    model = learn(training)
+    model = learn(training, least)
     shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
 
@@ -303,8 +303,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     )
 
 
-def held_out_scores(docs: DataFrame) -> DataFrame:
+def held_out_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``score`` with held_out, learned from the rows that aren't held out (remainder 1 of 5)."""
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    found = score(docs, docs.where(~held_out))
+    found = score(docs, docs.where(~held_out), least)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

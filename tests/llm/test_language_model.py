@@ -16,15 +16,15 @@ def tokens_of(text):
     return [*(text or "").encode().lower().split(), END]
 
 
-def plain(rows):
-    """All counts, without bounds of any kind but LEAST."""
+def plain(rows, least=lm.LEAST):
+    """All counts, without bounds of any kind but ``least``."""
     train = [tokens_of(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
     low = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
     states = {}
     for (a, b), k in Counter(p for t in train for p in zip([END, *t[:-1]], t)).items():
-        if k >= lm.LEAST:
+        if k >= least:
             states.setdefault(a, {})[b] = (k - lm.DISCOUNT) / c[a]
     fail = {a: (1 - sum(arcs.values())) / (1 - sum(map(low, arcs))) for a, arcs in states.items()}
     high = lambda a, b: states.get(a, {}).get(b) or low(b) * fail.get(a, 1.0)
@@ -54,16 +54,16 @@ def test_tokens():
     assert all(seen.setdefault(w, h) == h for w, h in zip(want, got.tolist())) and len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("words,arcs", [(1_000_000, 3_000_000), (40, 60), (1, 1)])
-def test_scores(spark, monkeypatch, words, arcs):
+@pytest.mark.parametrize("words,arcs,least", [(1_000_000, 3_000_000, 1), (40, 60, 5), (1, 1, 1), (10, 1, 2)])
+def test_scores(spark, monkeypatch, words, arcs, least):
     """The bounds of what executors hold change nothing: tiny ones leave all to the joins."""
     monkeypatch.setattr(lm, "WORDS", words)
     monkeypatch.setattr(lm, "ARCS", arcs)
     texts = ["the cat sat on the mat", "the dog sat on the rug", "THE cat", None, "", "a rare word here", "É é unknown bits \x1c", "the cat sat"] * 9 + ["the cat " * 5_000, "never seen before"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "the cat"), (3, "the cat"), (None, "the dog")]
     docs = spark.createDataFrame([(d, t, 1, "w") for d, t in rows], "doc_id long, text string, c int, word string")
-    want, mass = plain(rows)
-    same(lm.held_out_scores(docs).collect(), want)
+    want, mass = plain(rows, least)
+    same(lm.held_out_scores(docs, least).collect(), want)
     assert np.allclose(mass, 1)
     assert lm.held_out_scores(docs.limit(0)).count() == 0
 
