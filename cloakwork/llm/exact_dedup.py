@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 SPLITTER_CHARS = 24
 
 
-def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = 0.001) -> DataFrame:
+#: A text with more rows than this, and more than this share of all, isn't sorted; so there are at most a million such texts.
+HOT_ROWS, HOT_SHARE = 100_000, 1e-6
+
+
+def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``keep`` is "min" or "max": which id of equal texts stays. Texts are compared as they are.
+    ``keep`` is "min" or "max": which id of equal texts stays; ``doc_id`` is a number. Texts are compared as they are.
     A null text counts as empty. Rows that repeat an id are rows of their own; exactly one row
     of a group has ``kept``. A null id never beats another. An empty table gives no rows; other
     columns of ``docs`` are ignored.
 
-    ``hot_share``: a text that more than this share of the rows has is grouped by partial
-    aggregation instead of being sorted. There are fewer than 1 / hot_share such texts, which
-    bounds what is broadcast.
+    A text that more than ``hot_rows`` rows and more than ``hot_share`` of all rows have is grouped by partial
+    aggregation instead of being sorted. There are fewer than 1 / hot_share such texts, which bounds what is broadcast, and
+    a partition sorts at most so many equal rows.
     """
     sign = {"max": 1, "min": -1}[keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
@@ -34,7 +38,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = 0.001) ->
     # Ordered so that the row that stays is the largest of its group.
     rows = rows.withColumn("rank", F.struct((F.col("doc_id") * sign).alias("by"), (-F.col("row")).alias("row")))
     total = docs.count()
-    frequent = rows.groupBy("h").count().where(F.col("count") > max(1, total * hot_share)).select("h", F.lit(True).alias("hot"))
+    frequent = rows.groupBy("h").count().where(F.col("count") > max(hot_rows, total * hot_share)).select("h", F.lit(True).alias("hot"))
     rows = rows.join(F.broadcast(frequent), "h", "left")
 
     sha = F.sha2(F.encode("text", "UTF-8"), 256)

@@ -8,12 +8,12 @@ import pytest
 from cloakwork.llm import decontaminate, exact_dedup
 
 
-@pytest.mark.parametrize("hot_share", [0.0, 0.001, 0.2, 1.0])
+@pytest.mark.parametrize(("hot_share", "hot_rows"), [(0.0, 1), (0.001, 1), (0.2, 1), (1.0, 1), (1e-6, 100_000)])
 @pytest.mark.parametrize("keep", ["max", "min"])
-def test_exact_dedup(spark, hot_share, keep):
+def test_exact_dedup(spark, hot_share, hot_rows, keep):
     rows = [(1, "a"), (2, "A"), (3, "a"), (4, None), (5, ""), (6, "a "), (7, "a"), (7, "a"), (None, "a"), (None, "solo"), (8, "x" * 200_000), (9, "x" * 200_000), (9, "x" * 199_999 + "y")]
     docs = spark.createDataFrame([(d, t, "k", 0) for d, t in rows], "doc_id long, text string, h string, rank int")
-    got = exact_dedup.exact_dedup(docs, keep, hot_share).collect()
+    got = exact_dedup.exact_dedup(docs, keep, hot_share, hot_rows).collect()
     assert len(got) == len(rows)
     groups = {}
     for d, t in rows:
