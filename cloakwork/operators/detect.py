@@ -123,7 +123,7 @@ LAYERS = {
     "analyzer": (seeds.ANALYZER_LABELS, 0.65, False),
     "filter": (seeds.FILTER_LABELS, 0.70, False),
     # Labels that the classifier isn't known to give are secrets; the ones mapped to nothing are noise.
-    "classifier": ({label: code for code, labels in seeds.CLASSIFIER_LABELS.items() for label in labels.split()}, 0.70, True),
+    "classifier": (seeds.CLASSIFIER_LABELS, 0.70, True),
 }
 
 

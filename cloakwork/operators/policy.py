@@ -11,7 +11,7 @@ TYPES = "array<string>"
 
 
 def context_types(spark: SparkSession) -> DataFrame:
-    rows = [(code, domain, "surrogate" if code in seeds.SURROGATE_CONTEXTS else "tag", True) for domain, codes in seeds.CONTEXTS.items() for code in codes.split()]
+    rows = [(code, domain, "surrogate" if code in seeds.SURROGATE_CONTEXTS else "tag", True) for code, domain in seeds.CONTEXTS.items()]
     return spark.createDataFrame(rows, "code string, domain string, default_mode string, enabled boolean")
 
 

@@ -78,7 +78,7 @@ RESOLVED = f"""
 WITH names AS (SELECT {list(CONTEXT_NAMES)} AS n),
   asked AS (SELECT doc_id, n[CAST(doc_id % 7 + 1 AS INT)] AS context_type,
                    CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN 'surrogate' END AS own_mode, doc_id % 5 = 0 AS inline FROM documents, names),
-  contexts(code, domain, default_mode) AS (VALUES {", ".join(f"('{c}', '{d}', '{'surrogate' if c in seeds.SURROGATE_CONTEXTS else 'tag'}')" for d, cs in seeds.CONTEXTS.items() for c in cs.split())}),
+  contexts(code, domain, default_mode) AS (VALUES {", ".join(f"('{c}', '{d}', '{'surrogate' if c in seeds.SURROGATE_CONTEXTS else 'tag'}')" for c, d in seeds.CONTEXTS.items())}),
   policies(domain, protect, keep) AS (VALUES {", ".join(f"('{d}', {p.split()}, {k.split()})" for d, (p, k) in seeds.POLICIES.items())}),
   resolved AS (SELECT doc_id, context_type, coalesce(nullif(own_mode, ''), default_mode, 'tag') AS mode,
                       CASE WHEN inline THEN ['EMAIL'] ELSE protect END AS protect, coalesce(keep, []) AS keep
@@ -147,7 +147,7 @@ SELECT doc_id, "start", "end", pii_type, 'regex' AS source FROM mails
 UNION ALL SELECT doc_id, "start", "end", pii_type, 'mail' FROM runs r WHERE NOT EXISTS (SELECT 1 FROM mails m WHERE m.doc_id = r.doc_id AND m."start" < r."end" AND r."start" < m."end")
 UNION ALL SELECT doc_id, "start", "end", pii_type, 'model' FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM runs m WHERE m.doc_id = n.doc_id AND m."start" < n."end" AND n."start" < m."end")"""
 
-CLASSES = ", ".join(f"('{label}', {quoted(code) if code else 'NULL'})" for code, labels in seeds.CLASSIFIER_LABELS.items() for label in labels.split())
+CLASSES = ", ".join(f"('{label}', {quoted(code) if code else 'NULL'})" for label, code in seeds.CLASSIFIER_LABELS.items())
 NAMED = spans("PERSON", NAME)
 
 

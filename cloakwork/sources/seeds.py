@@ -117,22 +117,42 @@ POLICIES = {
     ),
 }
 
-# The context types of each domain; those in SURROGATE_CONTEXTS default to surrogates, all others to tags.
+# The domain of each context type; those in SURROGATE_CONTEXTS default to surrogates, all others to tags.
 CONTEXTS = {
-    "default": (
-        "default hr embedding messaging.chat_case_qa messaging.chat_answer_decision messaging.intent_classify messaging.dispute_safety_gateway "
-        "intake.conversation intake.journey_classification intake.legal_value_extraction intake.laj ai.role.critic ai.role.adjudicator "
-        "casefacts.fact_extraction casefacts.fact_extraction.incidenti casefacts.fact_extraction.consumatori casefacts.fact_extraction.lavoro "
-        "casefacts.fact_extraction.successioni casefacts.fact_extraction.privacy case_file_document"
-    ),
-    "fine_appeal": (
-        "fine_appeal self_service.fine_appeal_extraction self_service.fine_appeal_drafting self_service.fine_appeal_strategy_analysis "
-        "casefacts.fact_extraction.codice_della_strada messaging.document_analysis_artifact.codice_della_strada"
-    ),
-    "condominio": "self_service.condo_dispute_drafting casefacts.fact_extraction.condominio messaging.document_analysis_artifact.condominio",
-    "contract_analysis": (
-        "contract_analysis legal_brief messaging.document_analysis_artifact messaging.document_analysis_artifact.contratti casefacts.fact_extraction.contratti"
-    ),
+    "default": "default",
+    "hr": "default",
+    "embedding": "default",
+    "messaging.chat_case_qa": "default",
+    "messaging.chat_answer_decision": "default",
+    "messaging.intent_classify": "default",
+    "messaging.dispute_safety_gateway": "default",
+    "intake.conversation": "default",
+    "intake.journey_classification": "default",
+    "intake.legal_value_extraction": "default",
+    "intake.laj": "default",
+    "ai.role.critic": "default",
+    "ai.role.adjudicator": "default",
+    "casefacts.fact_extraction": "default",
+    "casefacts.fact_extraction.incidenti": "default",
+    "casefacts.fact_extraction.consumatori": "default",
+    "casefacts.fact_extraction.lavoro": "default",
+    "casefacts.fact_extraction.successioni": "default",
+    "casefacts.fact_extraction.privacy": "default",
+    "case_file_document": "default",
+    "fine_appeal": "fine_appeal",
+    "self_service.fine_appeal_extraction": "fine_appeal",
+    "self_service.fine_appeal_drafting": "fine_appeal",
+    "self_service.fine_appeal_strategy_analysis": "fine_appeal",
+    "casefacts.fact_extraction.codice_della_strada": "fine_appeal",
+    "messaging.document_analysis_artifact.codice_della_strada": "fine_appeal",
+    "self_service.condo_dispute_drafting": "condominio",
+    "casefacts.fact_extraction.condominio": "condominio",
+    "messaging.document_analysis_artifact.condominio": "condominio",
+    "contract_analysis": "contract_analysis",
+    "legal_brief": "contract_analysis",
+    "messaging.document_analysis_artifact": "contract_analysis",
+    "messaging.document_analysis_artifact.contratti": "contract_analysis",
+    "casefacts.fact_extraction.contratti": "contract_analysis",
     "medical": "medical",
 }
 SURROGATE_CONTEXTS = ("embedding", "case_file_document")
@@ -182,12 +202,16 @@ FILTER_LABELS = {
     "account_number": "ACCOUNT_NUMBER", "secret": "SECRET",
 }
 CLASSIFIER_LABELS = {
-    "PERSON": "FIRSTNAME LASTNAME MIDDLENAME PREFIX", "EMAIL": "EMAIL", "PHONE": "PHONENUMBER PHONEIMEI", "PASSWORD": "PASSWORD", "USERNAME": "USERNAME",
-    "ACCOUNT_NUMBER": "ACCOUNTNUMBER ACCOUNTNAME", "CREDIT_CARD": "CREDITCARDNUMBER", "CVV": "CREDITCARDCVV", "MASKED_NUMBER": "MASKEDNUMBER", "SSN": "SSN", "PIN": "PIN",
-    "IBAN": "IBAN", "BIC": "BIC", "CRYPTO_ADDRESS": "BITCOINADDRESS ETHEREUMADDRESS LITECOINADDRESS", "IP_ADDRESS": "IPV4 IPV6 IP", "MAC_ADDRESS": "MAC", "URL": "URL",
-    "SECRET": "USERAGENT", "TARGA": "VEHICLEVRM", "VEHICLE_ID": "VEHICLEVIN", "ADDRESS": "STREET BUILDINGNUMBER SECONDARYADDRESS CITY STATE COUNTY ZIPCODE",
-    "GPS_COORDINATE": "NEARBYGPSCOORDINATE", "DATE": "DATE DOB",
-    None: "TIME AGE GENDER SEX HEIGHT EYECOLOR JOBTITLE JOBAREA JOBTYPE COMPANYNAME ORDINALDIRECTION CURRENCY CURRENCYCODE CURRENCYNAME CURRENCYSYMBOL CREDITCARDISSUER AMOUNT",
+    "FIRSTNAME": "PERSON", "LASTNAME": "PERSON", "MIDDLENAME": "PERSON", "PREFIX": "PERSON", "EMAIL": "EMAIL", "PHONENUMBER": "PHONE",
+    "PHONEIMEI": "PHONE", "PASSWORD": "PASSWORD", "USERNAME": "USERNAME", "ACCOUNTNUMBER": "ACCOUNT_NUMBER", "ACCOUNTNAME": "ACCOUNT_NUMBER",
+    "CREDITCARDNUMBER": "CREDIT_CARD", "CREDITCARDCVV": "CVV", "MASKEDNUMBER": "MASKED_NUMBER", "SSN": "SSN", "PIN": "PIN", "IBAN": "IBAN",
+    "BIC": "BIC", "BITCOINADDRESS": "CRYPTO_ADDRESS", "ETHEREUMADDRESS": "CRYPTO_ADDRESS", "LITECOINADDRESS": "CRYPTO_ADDRESS", "IPV4": "IP_ADDRESS",
+    "IPV6": "IP_ADDRESS", "IP": "IP_ADDRESS", "MAC": "MAC_ADDRESS", "URL": "URL", "USERAGENT": "SECRET", "VEHICLEVRM": "TARGA",
+    "VEHICLEVIN": "VEHICLE_ID", "STREET": "ADDRESS", "BUILDINGNUMBER": "ADDRESS", "SECONDARYADDRESS": "ADDRESS", "CITY": "ADDRESS",
+    "STATE": "ADDRESS", "COUNTY": "ADDRESS", "ZIPCODE": "ADDRESS", "NEARBYGPSCOORDINATE": "GPS_COORDINATE", "DATE": "DATE", "DOB": "DATE",
+    "TIME": None, "AGE": None, "GENDER": None, "SEX": None, "HEIGHT": None, "EYECOLOR": None, "JOBTITLE": None, "JOBAREA": None, "JOBTYPE": None,
+    "COMPANYNAME": None, "ORDINALDIRECTION": None, "CURRENCY": None, "CURRENCYCODE": None, "CURRENCYNAME": None, "CURRENCYSYMBOL": None,
+    "CREDITCARDISSUER": None, "AMOUNT": None,
 }
 
 # Language to locale, company forms by locale.
