@@ -25,7 +25,7 @@ from .line_prints import _span_hashes, mix
 from .lookup import Lookup
 
 #: Bounds of what is held on executors: words and arcs.
-WORDS, ARCS = 1_000_000, 3_000_000
+WORDS, ARCS = 1_000_000, 1_500_000
 #: The count from which a bigram is an arc, unless ``least`` says otherwise.
 LEAST = 2
 DISCOUNT = 0.5
@@ -100,8 +100,8 @@ def may_be(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(history, word, n): bigrams of words that ``words`` (a bitmap) doesn't rule out, by hash; bigrams of ``held`` words are
-    shuffled by their numbers, which are shorter."""
+    """(history, word, n), written: bigrams of words that ``words`` (a bitmap) doesn't rule out, by hash; bigrams of ``held`` words
+    are shuffled by their numbers, which are shorter."""
     shared = docs.sparkSession.sparkContext.broadcast((held, words))
 
     def run(batches):
@@ -133,7 +133,9 @@ def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray, least: i
             yield pa.RecordBatch.from_arrays([pa.array(history), pa.array(word), batch.column(3)], ["history", "word", "n"])
 
     found = docs.select("text").mapInArrow(run, "history long, word long, numbered boolean, n long").groupBy("history", "word", "numbered").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least).mapInArrow(named, "history long, word long, n long")
+    counted = materialise(found.where(F.col("n") >= least).mapInArrow(named, "history long, word long, n long"), "bigrams")
+    shared.destroy()
+    return counted
 
 
 @dataclass
@@ -208,7 +210,7 @@ def learn(training: DataFrame, least: int = LEAST) -> Model:
     frequent = counts.where(F.col("c") >= least_word)
     held = columns(frequent.select("word"))["word"]  # WORDS rows at most
     known = bitmap_of(often, "word")
-    pairs = materialise(count_bigrams(training, held, known, least), "bigrams")
+    pairs = count_bigrams(training, held, known, least)
     seconds = often.select(F.col("word"), F.col("c").alias("c_word"))
     firsts = often.select(F.col("word").alias("history"), F.col("c").alias("c_history"))
     arc, p = (F.col("n") - DISCOUNT) / F.col("c_history"), (F.col("c_word") + 0.5) / total
