@@ -133,9 +133,9 @@ def count_bigrams(docs: DataFrame, held: np.ndarray, words: np.ndarray, least: i
             yield pa.RecordBatch.from_arrays([pa.array(history), pa.array(word), batch.column(3)], ["history", "word", "n"])
 
     found = docs.select("text").mapInArrow(run, "history long, word long, numbered boolean, n long").groupBy("history", "word", "numbered").agg(F.sum("n").alias("n"))
-    counted = materialise(found.where(F.col("n") >= least).mapInArrow(named, "history long, word long, n long"), "bigrams")
+    bigrams = materialise(found.where(F.col("n") >= least).mapInArrow(named, "history long, word long, n long"), "bigrams")
     shared.destroy()
-    return counted
+    return bigrams
 
 
 @dataclass
