@@ -16,7 +16,7 @@ SPLITTER_CHARS = 24
 
 
 #: A text with more rows than this, and more than this share of all, isn't sorted; so there are at most a million such texts.
-HOT_ROWS, HOT_SHARE = 100_000, 1e-6
+HOT_ROWS, HOT_SHARE = 1_000, 1e-6
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max", hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
