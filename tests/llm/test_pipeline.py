@@ -53,3 +53,24 @@ def test_stages(spark, sf):
     digest = lambda rs: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rs)
     assert digest(whole) == digest(packed)
     assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows(spark, sf, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns; then no documents, and no benchmark."""
+    docs = common.table(spark, sf, "documents")
+    some = docs.where("length(text) > 200").orderBy("doc_id").limit(12).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, "k", 5, "h") for r in some]
+    rows += [(None, some[0].text + " and more words of its own", None, None, None, None, None, None, None), (some[1].doc_id, some[1].text, None, None, None, 2, "k", 5, "h")] * 3
+    rows += [(900, None, None, None, 0, 1, "k", 5, "h"), (901, "", "en", "s", 0, 1, "k", 5, "h"), (902, " \n\t", "en", "s", 3, 1, "k", 5, "h")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key int, hits string, row int, _verdict string"
+    at = str(tmp_path)
+    spark.createDataFrame(rows, kind).write.parquet(f"{at}/documents.parquet")
+    common.table(spark, sf, "benchmark").limit(0).write.parquet(f"{at}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, at).collect()
+    ids = {r.doc_id for r in packed}
+    assert len(ids) > 5 and not ids & {900, 901, 902}
+    assert len([r for r in packed if r.doc_id == some[1].doc_id and r.piece == 0]) <= 1
+    none = f"{at}/none"
+    spark.createDataFrame([], kind).write.parquet(f"{none}/documents.parquet")
+    common.table(spark, sf, "benchmark").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
