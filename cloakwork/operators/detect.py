@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, bound, cut, no_spans, paged, pattern_spans, span
+from ..functions.spans import SPANS, bound, cut, no_spans, paged, pattern_spans, span, stepwise
 from ..functions.text import UNICODE, literal_map
 from ..sources import seeds
 
@@ -156,12 +156,12 @@ def external_spans(docs: DataFrame, found: DataFrame, layer: str, key: str = "do
     return joined.withColumn("spans", F.coalesce(made, no_spans())).drop("_key", "_found")
 
 
-def collapsed_tags(tokens: Column) -> Column:
+def collapsed_tags(tokens: Column, digits: int | None = 4) -> Column:
     """BIOES tags of tokens, in order, to spans: structs of start, end, label and mean score.
 
     tokens: structs of start, end, tag ("B-x", "I-x", "E-x", "S-x" or "O") and score. B and S begin a span and close an
     open one, I and E extend an open span of their label, E and S close it; an I or E without one is dropped and
-    closes what is open. Zero-width tokens don't count.
+    closes what is open. Zero-width tokens don't count. The mean is rounded to ``digits``.
     """
     empty = "array<struct<start:int,end:int,label:string,total:double,n:int>>"
 
@@ -186,4 +186,42 @@ def collapsed_tags(tokens: Column) -> Column:
 
     start = F.struct(F.array().cast(empty).alias("open"), F.array().cast(empty).alias("done"))
     folded = F.aggregate(F.filter(tokens, lambda t: t["end"] > t["start"]), start, step, lambda s: F.concat(s["done"], s["open"]))
-    return F.transform(folded, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.round(s["total"] / s["n"], 4).alias("score")))
+    mean = lambda s: s["total"] / s["n"] if digits is None else F.round(s["total"] / s["n"], digits)
+    return F.transform(folded, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), mean(s).alias("score")))
+
+
+#: A line with its end, as Python's ``splitlines`` has it.
+LINE = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+"
+#: The filter model reads so many tokens of a line.
+MOST_TOKENS = 512
+
+
+def line_starts(text: Column) -> Column:
+    """Where each line of a text begins, in code points."""
+    lines = F.regexp_extract_all(text, F.lit(LINE), 0)
+    return stepwise(lines, F.lit(0), lambda at, line: (at + F.length(line), F.array(at)), "int")
+
+
+def decoded_tags(tokens: Column, tags: list[str], most: int = MOST_TOKENS) -> Column:
+    """The first ``most`` tokens (start, end, logits) with their tag and its probability: the largest logit, of equal ones the first, and softmax."""
+
+    def one(t: Column) -> Column:
+        largest = F.array_max(t["logits"])
+        total = F.aggregate(t["logits"], F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - largest))
+        tag = F.element_at(F.array(*map(F.lit, tags)), F.array_position(t["logits"], largest).cast("int"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), tag.alias("tag"), (1 / total).alias("score"))
+
+    return F.transform(F.slice(tokens, 1, most), one)
+
+
+def filter_findings(docs: DataFrame, logits: DataFrame, tags: list[str], least: float = 0.70) -> DataFrame:
+    """(doc_id, start, end, label, score): what a tagging model that has read documents line by line has found.
+
+    ``logits``: doc_id, line (from 0, all lines count), tokens (array of structs start, end, logits; places within the line).
+    ``tags``: the tag of each logit ("O", "B-x" ...). Spans with a mean probability under ``least`` go; scores are rounded after that.
+    Lines that a document doesn't have are ignored. ``layers.FindingsLayer`` takes the result.
+    """
+    starts = docs.select("doc_id", F.posexplode(line_starts(F.col("text"))).alias("line", "_start"))
+    found = logits.select("doc_id", "line", F.explode(collapsed_tags(decoded_tags(F.col("tokens"), tags), None)).alias("s")).where(F.col("s.score") >= least)
+    place = lambda c: (F.col("_start") + F.col(f"s.{c}")).cast("int").alias(c)
+    return found.join(starts, ["doc_id", "line"]).select("doc_id", place("start"), place("end"), "s.label", F.round("s.score", 4).alias("score"))
