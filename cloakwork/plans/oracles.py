@@ -142,6 +142,24 @@ SELECT c_custkey, locale, person, city, {filled("form", "line")} AS phone, iban,
        {remainder97("(iban[5:] || iban[:4])")} AS remainder
 FROM whole"""
 
+def digits(salt: str, n: int) -> str:
+    return f"lpad(({hashed(salt, 15)} % {10**n})::VARCHAR, {n}, '0')"
+
+
+US = LOCALES["en_US"]
+#: Every second digit from the second on is doubled and its digits are added.
+LUHN = "((10 - list_sum([CASE WHEN i % 2 = 0 THEN substr(body, i + 1, 1)::INT ELSE substr(body, i + 1, 1)::INT * 2 % 10 + substr(body, i + 1, 1)::INT // 5 END for i in range(length(body))]) % 10) % 10)::VARCHAR"
+SURROGATE_SIMPLE = f"""
+WITH found AS (SELECT DISTINCT pii_type, value AS text FROM ({RAW})),
+  keyed AS (SELECT *, text || '|corpus|en_US' AS key FROM found),
+  parts AS (SELECT *, {chosen(texts_of(US.first_names), "first")} AS first, {chosen(texts_of(US.last.split()), "last")} AS last, '04' || {digits("card", 14)} AS body, {chosen(texts_of(list(US.phones)), "phone")} AS form FROM keyed)
+SELECT 'corpus' AS context_id, pii_type, text, sha256(text) AS real_hash,
+       CASE pii_type WHEN 'EMAIL' THEN lower(left(first, 1) || '.' || last) || {digits("user", 2)} || '@' || substr(text, strpos(text, '@') + 1)
+                     WHEN 'CREDIT_CARD' THEN substr(body, 2) || {LUHN}
+                     WHEN 'IP_ADDRESS' THEN '10.' || ({hashed("ip0")} % 254 + 1) || '.' || ({hashed("ip1")} % 254 + 1) || '.' || ({hashed("ip2")} % 254 + 1)
+                     ELSE {filled("form", "line")} END AS fake_value
+FROM parts"""
+
 LAYERED = "WITH mails AS (" + spans("EMAIL", EMAIL) + "), runs AS (" + spans("URL", r"[^ \n\r\t]*@[^ \n\r\t]*") + "), numbers AS (" + spans("IP_ADDRESS", IP) + """)
 SELECT doc_id, "start", "end", pii_type, 'regex' AS source FROM mails
 UNION ALL SELECT doc_id, "start", "end", pii_type, 'mail' FROM runs r WHERE NOT EXISTS (SELECT 1 FROM mails m WHERE m.doc_id = r.doc_id AND m."start" < r."end" AND r."start" < m."end")
@@ -287,6 +305,7 @@ SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS pr
     "config_listing": """SELECT id, code, true AS enabled, row_number() OVER (PARTITION BY code ORDER BY id) AS place
 FROM (SELECT p_partkey AS id, 'TYPE_' || (p_partkey % 7) AS code FROM part WHERE p_partkey % 3 <> 0)""",
     "surrogate_locales": SURROGATE_LOCALES,
+    "surrogate_simple": SURROGATE_SIMPLE,
     "surrogate_leaks": TAGGED + "SELECT d.doc_id AS nth, coalesce(n, 0)::BIGINT AS entities, 0::BIGINT AS in_clear, n IS NULL AS unchanged FROM documents d LEFT JOIN rebuilt USING (doc_id)",
     "deanonymize_surrogates": "SELECT doc_id, text AS restored_text FROM documents",
     "layers_by_priority": LAYERED,
