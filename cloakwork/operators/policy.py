@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,19 +11,29 @@ from ..sources import seeds
 TYPES = "array<string>"
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as part of the plan, so that Spark knows its size.
+
+    A table made from Python rows is an RDD of unknown size: Spark sorts and merges, and all documents of one context or domain go to one task.
+    """
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), TYPES: pa.list_(pa.string())}
+    fields = [c.split() for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(v, kinds[kind]) for v, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields]), schema)
+
+
 def context_types(spark: SparkSession) -> DataFrame:
     rows = [(code, domain, "surrogate" if code in seeds.SURROGATE_CONTEXTS else "tag", True) for code, domain in seeds.CONTEXTS.items()]
-    return spark.createDataFrame(rows, "code string, domain string, default_mode string, enabled boolean")
+    return local_table(spark, rows, "code string, domain string, default_mode string, enabled boolean")
 
 
 def domain_policies(spark: SparkSession) -> DataFrame:
     rows = [(domain, protect.split(), keep.split(), [], True) for domain, (protect, keep) in seeds.POLICIES.items()]
-    return spark.createDataFrame(rows, f"domain string, protect_types {TYPES}, keep_types {TYPES}, surrogate_types {TYPES}, enabled boolean")
+    return local_table(spark, rows, f"domain string, protect_types {TYPES}, keep_types {TYPES}, surrogate_types {TYPES}, enabled boolean")
 
 
 def type_registry(spark: SparkSession) -> DataFrame:
     rows = [(*row, True) for row in seeds.PII_TYPES]
-    return spark.createDataFrame(rows, "code string, category string, display_name string, default_action string, faker_strategy string, reversible boolean, enabled boolean")
+    return local_table(spark, rows, "code string, category string, display_name string, default_action string, faker_strategy string, reversible boolean, enabled boolean")
 
 
 def type_list(column: Column, kind: str) -> Column:
