@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import SPAN, bound, rebuild, stepwise
 from ..functions.text import token_key
 
+KEYS = ["context_id", "context_type"]
 MAPPING = "struct<token:string,original:string,pii_type:string,start:int,end:int,score:double>"
 
 
@@ -73,16 +74,16 @@ def mapping_rows(anonymised: DataFrame) -> DataFrame:
     Of several originals the right-most of a text is kept, as it was cased there; of several texts of a
     context, the first by doc_id.
     """
-    rows = anonymised.select("context_id", "context_type", "doc_id", F.explode("entities").alias("e")).select("context_id", "context_type", "doc_id", "e.*")
-    first = Window.partitionBy("context_id", "context_type", "token").orderBy("doc_id", F.desc("start"))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("context_id", "context_type", "token", "original", "pii_type")
+    rows = anonymised.select(*KEYS, "doc_id", F.explode("entities").alias("e")).select(*KEYS, "doc_id", "e.token", (-F.col("e.start")).alias("minus"), "e.original", "e.pii_type")
+    # A least struct and not a window: it is found in part before the rows of a frequent token meet.
+    first = F.min(F.struct("doc_id", "minus", "original", "pii_type")).alias("first")
+    return rows.groupBy(*KEYS, "token").agg(first).select(*KEYS, "token", "first.original", "first.pii_type")
 
 
 #: What a token looks like; other tokens are surrogate values.
 TOKEN = r"\[[^\[\]]*_[0-9]+\]"
 #: Spans end with their words, so a surrogate value stands between characters that aren't these.
 WORD = "[A-Za-z0-9_]"
-KEYS = ["context_id", "context_type"]
 
 
 def anchored(stored: DataFrame) -> DataFrame:
@@ -91,13 +92,16 @@ def anchored(stored: DataFrame) -> DataFrame:
     A token of the form ``TOKEN`` is its own anchor; of any other, the word that the fewest of its context have, of several the longest;
     "" if it has no word. Of several originals of a token the least is used.
     """
-    token = F.col("token")
+    token, columns = F.col("token"), [*KEYS, "token", "original", "anchor"]
+    like_token = token.rlike(f"^(?:{TOKEN})$")
+    named = stored.where(like_token).groupBy(*KEYS, "token").agg(F.min("original").alias("original")).withColumn("anchor", token)
     words = F.array_distinct(F.regexp_extract_all(token, F.lit(f"{WORD}+"), 0))
-    words = F.when(token.rlike(f"^(?:{TOKEN})$"), F.array(token)).when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
-    rows = stored.where("token <> ''").select(*KEYS, "token", "original", F.explode(words).alias("word"))
+    words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
+    rows = stored.where("token <> ''").where(~like_token).select(*KEYS, "token", "original", F.explode(words).alias("word"))
     counts = rows.groupBy(*KEYS, "word").agg(F.count("*").alias("n"))
     best = F.min(F.struct("n", (-F.length("word")).alias("minus"), "word", "original")).alias("best")
-    return rows.join(counts, [*KEYS, "word"]).groupBy(*KEYS, "token").agg(best, F.min("original").alias("original")).select(*KEYS, "token", "original", F.col("best.word").alias("anchor"))
+    values = rows.join(counts, [*KEYS, "word"]).groupBy(*KEYS, "token").agg(best, F.min("original").alias("original")).withColumn("anchor", F.col("best.word"))
+    return named.select(columns).unionAll(values.select(columns))
 
 
 def deanonymise(texts: DataFrame, stored: DataFrame) -> DataFrame:
@@ -107,15 +111,20 @@ def deanonymise(texts: DataFrame, stored: DataFrame) -> DataFrame:
     mappings, so it meets those that it holds, or shares a rare word with, and not all of its context's. Surrogate values are replaced
     after the tokens, longest first, where they stand as words of their own: "Rossi" isn't restored within "Rossini". A null text
     stays null; a null context has no mappings.
+
+    A text and a word of its context go through that join as two 64-bit hashes. A mapping whose hash only coincides goes when contexts are compared, or, if it is of
+    the same context, changes nothing in a text that doesn't hold it. ``texts`` is read twice.
     """
-    marked = texts.withColumn("_id", F.sha2(F.concat_ws("\0", *KEYS, "text"), 256))
+    alike = [F.col(k) for k in KEYS if texts.schema[k].dataType == stored.schema[k].dataType]
+    marked = texts.withColumn("_id", F.xxhash64(*KEYS, "text"))
     parts = F.concat(*[F.regexp_extract_all("text", F.lit(p), 0) for p in (TOKEN, f"{WORD}+")], F.array(F.lit("")))
     # An inner explode would have Spark test the list's size first, below the projections that made the text, which computes them again.
-    held = marked.select("_id", *KEYS, F.explode_outer(F.array_distinct(parts)).alias("anchor")).distinct()
+    held = marked.select("_id", F.explode_outer(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(*alike, p)))).alias("_anchor"))
     named = F.col("token").rlike(f"^(?:{TOKEN})$").alias("named")
-    found = held.join(anchored(stored), [*KEYS, "anchor"]).select("_id", "token", "original", named)
-    entry = lambda condition: F.collect_list(F.when(condition, F.struct((-F.length("token")).alias("order"), "token", "original")))
-    found = found.groupBy("_id").agg(entry(F.col("named")).alias("_tokens"), F.array_sort(entry(~F.col("named"))).alias("_values"))
+    known = anchored(stored).select(F.xxhash64(*alike, "anchor").alias("_anchor"), *KEYS, "token", "original", named)
+    found = held.join(known, "_anchor")
+    entry = lambda condition: F.collect_set(F.when(condition, F.struct((-F.length("token")).alias("order"), "token", "original")))
+    found = found.groupBy("_id", *KEYS).agg(entry(F.col("named")).alias("_tokens"), F.array_sort(entry(~F.col("named"))).alias("_values"))
     originals = F.map_from_entries(F.transform("_tokens", lambda t: F.struct(t["token"], t["original"])))
     pieces = F.zip_with(F.split("text", TOKEN, -1), F.regexp_extract_all("text", F.lit(TOKEN), 0), lambda gap, token: F.concat(gap, F.coalesce(F.try_element_at("_originals", token), token, F.lit(""))))
 
@@ -126,5 +135,5 @@ def deanonymise(texts: DataFrame, stored: DataFrame) -> DataFrame:
         return F.when(F.contains(text, v["token"]), F.regexp_replace(text, pattern, F.regexp_replace(v["original"], r"([\\$])", r"\\$1"))).otherwise(text)
 
     restored = F.aggregate("_values", F.array_join(pieces, ""), put_back)
-    joined = marked.join(found.select("_id", originals.alias("_originals"), "_values"), "_id", "left")
+    joined = marked.join(found.select("_id", *KEYS, originals.alias("_originals"), "_values"), ["_id", *KEYS], "left")
     return joined.withColumn("restored_text", F.coalesce(restored, F.col("text"))).select(*texts.columns, "restored_text")

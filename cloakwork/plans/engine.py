@@ -163,7 +163,9 @@ class PiiEngine:
         made = surrogates.surrogates(self._distinct(firsts), self.registry, self.stored_surrogates, self.stored_profiles)
         known = surrogates.joined(firsts, made, ["context_id", "pii_type", "text"]).where(F.lower("fake_value") != F.lower("text"))
         fakes = known.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("key", "fake_value"))).alias("_fakes"))
-        found = rows.join(fakes, ROW, "left")
+        # Texts without a span need no surrogates and aren't shuffled.
+        has = F.coalesce(F.size("spans"), F.lit(0)) > 0
+        found = rows.where(has).join(fakes, ROW, "left").unionByName(rows.where(~has), allowMissingColumns=True)
         wanted = (lambda s: (F.col("mode") == "surrogate") | F.array_contains("surrogate", s["pii_type"])) if per_type else (lambda s: F.col("mode") == "surrogate")
         fake = lambda t: F.struct(t["span"].alias("span"), F.when(wanted(t["span"]), F.coalesce(F.try_element_at("_fakes", token_key(t["span"]["text"])), t["token"])).otherwise(t["token"]).alias("token"))
         return found.withColumn("tokens", F.transform("tokens", fake)).drop(ROW, "_fakes")

@@ -196,9 +196,9 @@ def mapping_rows_dedup(spark, sf_dir):
 
 
 def deanonymize_roundtrip(spark, sf_dir):
-    """Each document is its own context, so its text comes back."""
+    """Each document is its own context, so its text comes back. Texts and mappings are read from what was written once."""
     docs = requests(spark, sf_dir, "tag").withColumn("context_id", F.col("doc_id").cast("string"))
-    found = PiiEngine(spark, BUNDLED).anonymise(docs)
+    found, _ = store.settled(PiiEngine(spark, BUNDLED).anonymise(docs).select("doc_id", "context_id", "context_type", "anonymized_text", "entities"))
     texts = found.select("doc_id", "context_id", "context_type", F.col("anonymized_text").alias("text"))
     return replace.deanonymise(texts, replace.mapping_rows(found)).select("doc_id", "restored_text")
 
@@ -206,7 +206,7 @@ def deanonymize_roundtrip(spark, sf_dir):
 def deanonymize_surrogates(spark, sf_dir):
     """Each document is its own context; what surrogates have replaced comes back from the stored texts and mappings."""
     docs = requests(spark, sf_dir, "surrogate").withColumn("context_id", F.col("doc_id").cast("string"))
-    found, _ = store.settled(PiiEngine(spark, BUNDLED).anonymise(docs))
+    found, _ = store.settled(PiiEngine(spark, BUNDLED).anonymise(docs).select("doc_id", "context_id", "context_type", "anonymized_text", "entities"))
     texts = found.select("doc_id", "context_id", "context_type", F.col("anonymized_text").alias("text"))
     return replace.deanonymise(texts, replace.mapping_rows(found)).select("doc_id", "restored_text")
 
