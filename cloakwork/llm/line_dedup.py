@@ -277,6 +277,16 @@ def candidates(lines: DataFrame, similarity: float, joined: int = JOINED) -> Dat
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(run, "u long, v long, bucket long, size int")
 
 
+def candidates_by_length(lines: DataFrame, similarity: float) -> DataFrame:
+    """All lines as ``candidates`` gives the members of large buckets, in buckets by length in which each two lines meet that can be similar at all.
+
+    A bucket holds two neighbouring ranges of lengths; similar lengths are at most one range apart.
+    """
+    band = F.floor(F.log("size") / (-np.log(max(similarity, 1e-9)) + 1e-6))
+    distinct = lines.where("blocks is not null").select("line", "size").distinct()
+    return distinct.select(F.col("line").alias("u"), F.lit(None).cast("long").alias("v"), F.explode(F.array(band, band + 1)).alias("bucket"), "size")
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, words, fp, tells): the normalised texts of the lines in ``wanted`` (line), with their SimHashes.
 
@@ -337,14 +347,18 @@ def forest(words: list[str], fps: np.ndarray, tells: np.ndarray, similarity: flo
     return edges
 
 
-def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RADIUS, joined: int = JOINED, tile: int = TILE) -> DataFrame:
+def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RADIUS, joined: int = JOINED, tile: int = TILE, exact: bool = False) -> DataFrame:
     """(u, v): edges that connect all lines that share a block, have SimHashes within ``radius`` bits (where those tell
-    anything) and an edit distance of at most 1 - similarity."""
-    found = materialise(candidates(lines, similarity, joined), "line-candidates")
+    anything) and an edit distance of at most 1 - similarity. If ``exact``, blocks and SimHashes aren't asked for."""
+    found = materialise(candidates_by_length(lines, similarity) if exact else candidates(lines, similarity, joined), "line-candidates")
+    radius = 64 if exact else radius
     pairs = found.where("v is not null").select("u", "v").distinct()
     crowds = found.where("v is null").select(F.col("u").alias("line"), "bucket", "size")
     ends = found.select(F.col("u").alias("line")).unionAll(found.where("v is not null").select(F.col("v").alias("line"))).distinct()
-    texts = materialise(texts_of(docs, ends), "line-texts")
+    wanted = texts_of(docs, ends)
+    if exact:  # shorter lines have no blocks either
+        wanted = wanted.where(F.length(F.replace("words", F.lit(" "), F.lit(""))) >= line_prints.LEAST_CHARS)
+    texts = materialise(wanted, "line-texts")
 
     def check(batches):
         for batch in batches:
@@ -375,7 +389,7 @@ def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RA
     return edges
 
 
-def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, carry: tuple[str, ...] = (), joined: int = JOINED, tile: int = TILE) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, carry: tuple[str, ...] = (), joined: int = JOINED, tile: int = TILE, exact: bool = False) -> DataFrame:
     """One row per input row: doc_id, text (without the lines that were removed), n_lines, n_removed, and ``carry``.
 
     Lines end at a newline. They are compared lower-cased, as runs of letters, digits and non-ASCII characters. Equal
@@ -387,11 +401,14 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, c
     fewer than 8 letters and digits are compared for equality only. A null text stays null
     and has no lines; rows that repeat both id and text keep and lose the same lines. An empty table gives no
     rows; other columns are ignored.
+
+    Similar lines that share no block stay unlinked. With ``exact`` no link is lost: all lines of 8 letters and digits or more meet all
+    others of about their length, in tiles of ``tile`` lines, so a task holds two tiles; the work grows with the square of the number of distinct lines.
     """
     kept = ["doc_id", *carry]
     docs = docs.select("doc_id", "text", *carry).withColumn("key", F.xxhash64("doc_id", "text"))
     lines = materialise(occurrences(docs), "lines")
-    edges = links(docs, lines, similarity, radius, joined, tile)
+    edges = links(docs, lines, similarity, radius, joined, tile, exact)
     roots = connected_components(edges)
     discard(edges)
     groups = roots.select(F.col("node").alias("line"), "root").unionAll(roots.select(F.col("root").alias("line"), "root").distinct())
