@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import line_prints
-from .common import discard, materialise, schema_of
+from .common import discard, materialise
 from .components import connected_components
 from .line_prints import KEEP, block_keys, identities
 
@@ -18,8 +16,8 @@ from .line_prints import KEEP, block_keys, identities
 PIECE = 1_000_000
 #: Buckets of up to JOINED lines give all their pairs; larger ones are searched in tiles of so many lines and characters.
 JOINED, TILE, TILE_CHARS = 12, 4_096, 8_000_000
-#: Bits of the map that tells which lines' texts may be needed.
-BITMAP = 1 << 26
+#: Bits of the map that tells at which places lines' texts may be needed; a place is a row's key and a line number.
+BITMAP, SPREAD = 1 << 26, 0x9E3779B1
 #: Bits in which the SimHashes of two lines may differ: eight words in nine are the same at least.
 RADIUS = 15
 #: Words that the quick bound looks ahead.
@@ -29,6 +27,8 @@ CLASS_BITS = 9
 CLASSES = 1 << CLASS_BITS
 #: Pairs of lines whose counts of classes are held at once, and characters that are counted at once.
 COUNTED, COUNTED_CHARS = 1_000, 50_000
+#: Crowds with the same least line are searched together up to so many lines and characters.
+FAMILY, FAMILY_CHARS = 16_384, 8_000_000
 
 
 #: Letters, digits and bytes of other characters stay, all else separates; capitals are gone by then.
@@ -144,12 +144,13 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _pieces(batches):
+def _pieces(batches, lower: bool = True):
     """(batch, rows, first line numbers, parts, lower-cased bytes) of about PIECE bytes; longer texts are cut between lines."""
     for batch in batches:
         rows, firsts, parts, size = [], [], [], 0
         for i, text in enumerate(batch.column(batch.num_columns - 1)):
-            data = (text.as_py() or "").lower().encode()
+            data = text.as_py() or ""
+            data = (data.lower() if lower else data).encode()
             line = at = 0
             while at <= len(data):
                 end = len(data) if len(data) - at <= PIECE else data.find(b"\n", at + PIECE)
@@ -222,59 +223,76 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame, similarity: float, joined: int = JOINED) -> DataFrame:
-    """(u, v, bucket, size): pairs of lines that share a block (v not null), and the members of larger buckets (v null).
+    """(u, v, bucket, size, place_u, place_v): pairs of lines that share a block (v not null), and the members of larger
+    buckets (v null), with the bits of places where they stand.
 
     A partition is read in the order of its buckets, so only the bucket at hand is held, up to ``joined`` lines.
     """
 
-    def flush(key, line, size):
+    def flush(key, line, spot):
         """Buckets of sorted, distinct (key, line): pairs of the small ones and members of the others."""
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         many = np.diff(np.append(starts, len(key)))
         many = np.repeat(many, many)
-        few = many <= joined
-        u, v = [], []
+        few, size = many <= joined, spot // BITMAP
+        first, second = [], []
         for d in range(1, min(joined, int(many.max(initial=0)))):
             a = np.flatnonzero((key[:-d] == key[d:]) & few[:-d])
             shorter, longer = np.minimum(size[a], size[a + d]), np.maximum(size[a], size[a + d])
             a = a[longer - shorter <= (1 - similarity) * longer + 1e-9]
-            u.append(line[a])
-            v.append(line[a + d])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        return batch_of(u, v, None, None), batch_of(line[~few], None, key[~few], size[~few])
+            first.append(a)
+            second.append(a + d)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+        yield batch_of([line[a], line[b], None, None, spot[a] % BITMAP, spot[b] % BITMAP])
+        yield crowded(key[~few], line[~few], spot[~few])
 
-    def batch_of(u, v, bucket, size):
-        none = lambda kind: pa.nulls(len(u), kind)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(u), none(pa.int64()) if v is None else pa.array(v), none(pa.int64()) if bucket is None else pa.array(bucket), none(pa.int32()) if size is None else pa.array(size)], ["u", "v", "bucket", "size"]
-        )
+    def crowded(key, line, spot):
+        return batch_of([line, None, key, spot // BITMAP, spot % BITMAP, None])
+
+    def batch_of(columns):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        arrays = [pa.nulls(len(columns[0]), kind) if c is None else pa.array(c).cast(kind) for c, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["u", "v", "bucket", "size", "place_u", "place_v"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64)] * 3
         crowd = None  # the key of a bucket whose first members have been given out
         for batch in batches:
-            key, line, size = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            key, line, spot = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            key, line, size = key[fresh], line[fresh], size[fresh]
+            key, line, spot = key[fresh], line[fresh], spot[fresh]
             if crowd is not None:
                 more = key == crowd
                 new = line[more] != last if more.any() else more[:0]
                 if new.any():
-                    yield batch_of(line[more][new], None, key[more][new], size[more][new])
+                    yield crowded(key[more][new], line[more][new], spot[more][new])
                     last = line[more][-1]
-                key, line, size = key[~more], line[~more], size[~more]
+                key, line, spot = key[~more], line[~more], spot[~more]
             open_at = np.searchsorted(key, key[-1]) if len(key) else 0
             if len(key) - open_at > joined:
                 crowd, last, open_at = key[-1], line[-1], len(key)
             elif len(key):
                 crowd = None
-            yield from flush(key[:open_at], line[:open_at], size[:open_at])
-            held = [key[open_at:], line[open_at:], size[open_at:]]
+            yield from flush(key[:open_at], line[:open_at], spot[:open_at])
+            held = [key[open_at:], line[open_at:], spot[open_at:]]
         yield from flush(*held)
 
-    keyed = lines.where("blocks is not null").select(F.explode("blocks").alias("bucket"), "line", "size")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(run, "u long, v long, bucket long, size int")
+    # Size and place go as one number. Of a line's places the least comes first in every bucket, so it is asked for once.
+    spot = F.col("size").cast("long") * BITMAP + place_bit(F.col("key"), F.col("line_no"))
+    keyed = lines.where("blocks is not null").select("blocks", "line", spot.alias("spot")).select(F.explode("blocks").alias("bucket"), "line", "spot")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "line", "spot").mapInArrow(run, FOUND)
+
+
+#: What ``candidates`` gives.
+FOUND = "u long, v long, bucket long, size int, place_u int, place_v int"
+
+
+def place_bit(key, number):
+    """The bit of a place in the map, of columns or NumPy arrays of 64-bit integers."""
+    if isinstance(key, np.ndarray):
+        return (key ^ number * SPREAD) & (BITMAP - 1)
+    return key.bitwiseXOR(number.cast("long") * SPREAD).bitwiseAND(F.lit(BITMAP - 1))
 
 
 def candidates_by_length(lines: DataFrame, similarity: float) -> DataFrame:
@@ -283,38 +301,57 @@ def candidates_by_length(lines: DataFrame, similarity: float) -> DataFrame:
     A bucket holds two neighbouring ranges of lengths; similar lengths are at most one range apart.
     """
     band = F.floor(F.log("size") / (-np.log(max(similarity, 1e-9)) + 1e-6))
-    distinct = lines.where("blocks is not null").select("line", "size").distinct()
-    return distinct.select(F.col("line").alias("u"), F.lit(None).cast("long").alias("v"), F.explode(F.array(band, band + 1)).alias("bucket"), "size")
+    distinct = lines.where("blocks is not null").groupBy("line").agg(F.min("size").alias("size"), F.min(place_bit(F.col("key"), F.col("line_no"))).cast("int").alias("place_u"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("v", "long"), ("place_v", "int"))]
+    return distinct.select(F.col("line").alias("u"), none[0], F.explode(F.array(band, band + 1)).alias("bucket"), "size", "place_u", none[1])
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, words, fp, tells): the normalised texts of the lines in ``wanted`` (line), with their SimHashes.
+def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(line, words, fp, tells): the normalised texts of the lines at ``places`` (place), with their SimHashes; some others may come too.
 
-    A bitmap of fixed size tells which lines of a second scan may be wanted; the join makes it exact.
+    A bitmap of fixed size tells at which places of a second scan a text may be wanted; only these lines are hashed again.
     """
-    bit = F.pmod("line", F.lit(BITMAP)) + 1  # these functions count from 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # BITMAP / 8 bytes at most
+    page = F.shiftright("place", 15)
+
+    def mapped(batches):
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = np.unique(batch.column(0).to_numpy())
+            for page in np.unique(place >> 15).tolist():
+                own = place[place >> 15 == page] & 32_767
+                pages.setdefault(page, np.zeros(32_768, bool))[own] = True
+        for page, bits in pages.items():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["page", "bits"])
+
+    parts = places.repartition(page).mapInArrow(mapped, "page int, bits binary").collect()  # BITMAP / 8 bytes
     bitmap = np.zeros(BITMAP // 8, np.uint8)
     for part in parts:
-        bitmap[(part["at"] - 1) * 4096 : part["at"] * 4096] |= np.frombuffer(part["bits"], np.uint8)
+        bitmap[part["page"] * 4096 : (part["page"] + 1) * 4096] |= np.frombuffer(part["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         seen = _Seen()
-        for _, _, _, parts in _pieces(batches):
+        for batch, rows, firsts, parts in _pieces(batches, lower=False):
             data = b"\n".join(parts)
-            line, _, _, words, found = identities(data)
+            ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            counts = np.array([p.count(b"\n") + 1 for p in parts])
+            number = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts - np.array(firsts), counts)
+            key = np.repeat(batch.column(0).to_numpy()[np.array(rows)], counts)
+            place = place_bit(key, number)
+            at = np.flatnonzero(shared.value[place >> 3] >> (place & 7) & 1)
+            some = [data[i:j].decode().lower().encode() for i, j in zip(begins[at].tolist(), ends[at].tolist())]
+            if not some:
+                continue
+            line, _, _, words, found = identities(b"\n".join(some))
             fps, tells = line_prints.simhashes(found)
             line = line.view(np.int64)
-            place = line % BITMAP
-            at = np.flatnonzero(words & (shared.value[place >> 3] >> (place & 7) & 1 > 0))
+            at = np.flatnonzero(words)
             at = at[seen.new(line[at])]
-            ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            texts = [words_of(data[i:j]) for i, j in zip(begins[at].tolist(), ends[at].tolist())]
+            texts = [words_of(some[k]) for k in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(line[at]), pa.array(texts, pa.string()), pa.array(fps.view(np.int64)[at]), pa.array(tells[at])], ["line", "words", "fp", "tells"])
 
-    return docs.select("text").mapInArrow(run, "line long, words string, fp long, tells boolean").join(wanted, "line").dropDuplicates(["line"])
+    return docs.select("key", "text").mapInArrow(run, "line long, words string, fp long, tells boolean").dropDuplicates(["line"])
 
 
 def simhashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -323,28 +360,81 @@ def simhashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(words: list[str], fps: np.ndarray, tells: np.ndarray, similarity: float, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among some lines.
-
-    Lines with too few pairs of characters in common aren't compared (see ``may_be_similar``).
-    """
-    sizes = np.array([len(w) for w in words])
-    counts = class_counts(words)
-    left, edges = np.arange(len(words)), []
-    while len(left):
-        frontier, left = [int(left[0])], left[1:]
-        while frontier and len(left):
-            i = frontier.pop()
-            longer = np.maximum(sizes[left], sizes[i])
-            most = np.floor((1 - similarity) * longer + 1e-9)
-            told = tells[left] & tells[i]
-            near = (np.abs(sizes[left] - sizes[i]) <= most) & (~told | (np.bitwise_count(fps[left] ^ fps[i]) <= radius))
-            rest = np.flatnonzero(near)
-            near[rest] = may_be_similar(counts[left[rest]], counts[i], longer[rest], most[rest])
-            reached = [j for j in left[near].tolist() if similar(words[i], words[j], similarity)]
-            edges += [(i, j) for j in reached]
-            frontier += reached
-            left = left[~np.isin(left, reached)] if reached else left
-    return edges
+    """Edges of a spanning forest of the links among some lines."""
+    return Family(similarity, radius).grow(list(range(len(words))), words, fps, tells)
+
+
+class Family:
+    """Crowds that have lines in common; two lines that were linked or found apart in one of them aren't compared in the next."""
+
+    def __init__(self, similarity: float, radius: int = RADIUS):
+        self.similarity, self.radius = similarity, radius
+        self.above: dict[int, int] = {}  # of the lines linked so far
+        self.apart: set[tuple[int, int]] = set()
+        self.lines = self.chars = 0
+
+    def root(self, name: int) -> int:
+        while (up := self.above.get(name, name)) != name:
+            self.above[name] = name = self.above.get(up, up)
+        return name
+
+    def grow(self, names: list[int], words: list[str], fps: np.ndarray, tells: np.ndarray) -> list[tuple[int, int]]:
+        """Edges that, with those of the crowds before, connect what is linked in this crowd.
+
+        Lines with too few pairs of characters in common aren't compared (see ``may_be_similar``).
+        """
+        sizes = np.array([len(w) for w in words])
+        counts = class_counts(words)
+        classes = np.array([self.root(n) for n in names])
+        left, edges, known = np.arange(len(words)), [], bool(self.above)
+        while len(left):
+            frontier, left = [int(left[0])], left[1:]
+            while frontier and len(left):
+                i = frontier.pop()
+                if known:
+                    linked = classes[left] == classes[i]
+                    frontier += left[linked].tolist()
+                    left = left[~linked]
+                longer = np.maximum(sizes[left], sizes[i])
+                most = np.floor((1 - self.similarity) * longer + 1e-9)
+                told = tells[left] & tells[i]
+                near = np.flatnonzero((np.abs(sizes[left] - sizes[i]) <= most) & (~told | (np.bitwise_count(fps[left] ^ fps[i]) <= self.radius)))
+                if len(near):
+                    near = near[may_be_similar(counts[left[near]], counts[i], longer[near], most[near])]
+                reached = []
+                for k, j in zip(near.tolist(), left[near].tolist()):
+                    pair = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
+                    if pair in self.apart:
+                        continue
+                    if similar(words[i], words[j], self.similarity):
+                        reached.append(k)
+                        frontier.append(j)
+                        edges.append((names[i], names[j]))
+                        self.above[self.root(names[j])] = self.root(names[i])
+                    else:
+                        self.apart.add(pair)
+                left = np.delete(left, reached) if reached else left
+        self.lines, self.chars = self.lines + len(words), self.chars + int(sizes.sum())
+        return edges
+
+
+def _crowds(batches):
+    """The rows of each (least, pair, bucket), which follow one another."""
+    held, name = [], None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in range(3)]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            own = tuple(int(k[start]) for k in keys)
+            if held and own != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            name = own
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RADIUS, joined: int = JOINED, tile: int = TILE, exact: bool = False) -> DataFrame:
@@ -354,8 +444,8 @@ def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RA
     radius = 64 if exact else radius
     pairs = found.where("v is not null").select("u", "v").distinct()
     crowds = found.where("v is null").select(F.col("u").alias("line"), "bucket", "size")
-    ends = found.select(F.col("u").alias("line")).unionAll(found.where("v is not null").select(F.col("v").alias("line"))).distinct()
-    wanted = texts_of(docs, ends)
+    places = found.select(F.explode(F.array("place_u", "place_v")).alias("place")).where("place is not null")
+    wanted = texts_of(docs, places)
     if exact:  # shorter lines have no blocks either
         wanted = wanted.where(F.length(F.replace("words", F.lit(" "), F.lit(""))) >= line_prints.LEAST_CHARS)
     texts = materialise(wanted, "line-texts")
@@ -365,24 +455,34 @@ def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RA
             near = pa.array(similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in (0, 1)], ["u", "v"])
 
+    def of(rows: DataFrame, line: str) -> DataFrame:
+        """The texts of a column of lines; they are exchanged by line, in the same way for each column."""
+        joined = rows.join(texts, F.col(line) == F.col("line"))
+        return joined.select(*rows.columns, *(F.col(c).alias(f"{c}_{line}") for c in ("words", "fp", "tells")))
+
     near = (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius) | ~(F.col("tells_u") & F.col("tells_v"))
-    a, b = (texts.select(F.col("line").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("words", "fp", "tells")]) for c in "uv")
-    checked = pairs.join(a, "u").join(b, ["v"]).where(near).select("u", "v", "words_u", "words_v").mapInArrow(check, "u long, v long")
+    checked = of(of(pairs, "u"), "v").where(near).select("u", "v", "words_u", "words_v").mapInArrow(check, "u long, v long")
 
     # A crowd of more than a tile is dealt to tiles, and each two tiles meet in one task.
-    sizes = crowds.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    # Crowds that have their least line in common are likely to share others: they go to one task, which doesn't compare two lines again.
+    sizes = crowds.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("line").alias("least"))
     tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("chars") / TILE_CHARS)).cast("int")
     mine = F.pmod("line", F.col("tiles")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, mine).cast("long") * 1_000_000 + F.greatest(t, mine))
-    dealt = crowds.join(sizes.select("bucket", tiles.alias("tiles")), "bucket").select("bucket", "line", F.explode(met).alias("pair"))
-
-    def grow(crowd: pd.DataFrame) -> pd.DataFrame:
-        names = crowd["line"].to_numpy()
-        fps = crowd["fp"].to_numpy(np.int64).view(np.uint64)
-        edges = np.array(forest(crowd["words"].tolist(), fps, crowd["tells"].to_numpy(bool), similarity, radius), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": names[edges[:, 0]], "v": names[edges[:, 1]]}, dtype="int64")
-
-    grown = dealt.join(texts, "line").groupBy("bucket", "pair").applyInPandas(grow, "u long, v long")
+    dealt = crowds.join(sizes.select("bucket", tiles.alias("tiles"), "least"), "bucket").select("least", "bucket", "line", F.explode(met).alias("pair"))
+
+    def grow(batches):
+        family, name = None, None
+        for crowd in _crowds(batches):
+            own = [crowd.column(c)[0].as_py() for c in ("least", "pair")]
+            if own != name or family.lines > FAMILY or family.chars > FAMILY_CHARS:
+                family, name = Family(similarity, radius), own
+            edges = family.grow(crowd.column("line").to_pylist(), crowd.column("words").to_pylist(), crowd.column("fp").to_numpy().view(np.uint64), crowd.column("tells").to_numpy())
+            u, v = np.array(edges, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    members = dealt.join(texts, "line").select("least", "pair", "bucket", "line", "words", "fp", "tells")
+    grown = members.repartition("least", "pair").sortWithinPartitions("least", "pair", "bucket").mapInArrow(grow, "u long, v long")
     edges = materialise(checked.unionAll(grown), "line-edges")
     discard(found)
     discard(texts)
@@ -424,21 +524,11 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, c
     for done in (lines, roots, grouped):
         discard(done)
 
-    def run(batches):
-        for batch in batches:
-            text, gone = batch.column("text"), batch.column("removed")
-            n_lines = pc.if_else(text.is_valid(), pc.add(pc.count_substring(text, "\n"), 1), 0)
-            n_removed, texts = pc.fill_null(pc.list_value_length(gone), 0), text
-            at = np.flatnonzero(n_removed.to_numpy(zero_copy_only=False))
-            if len(at):
-                new = []
-                for i in at.tolist():
-                    out = set(gone[i].as_py())
-                    new.append("\n".join(x for k, x in enumerate(text[i].as_py().split("\n")) if k not in out))
-                mask = np.zeros(len(text), bool)
-                mask[at] = True
-                texts = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
-            new = [texts, n_lines.cast(pa.int64()), n_removed.cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "text", "n_lines", "n_removed"])
-
-    return docs.join(removed, "key", "left").select(*kept, "text", "removed").mapInArrow(run, f"{schema_of(docs, kept)}, text string, n_lines long, n_removed long")
+    # What stays of the line numbers is told by a hash set, so a text takes time in proportion to its lines.
+    split = F.split("text", "\n", -1)
+    stays = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.col("parts")[i]), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long")
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    found = docs.join(removed, "key", "left").select(*kept, "text", "removed", split.alias("parts"))
+    return found.select(*kept, text.alias("text"), n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0).cast("long")).alias("n_removed"))

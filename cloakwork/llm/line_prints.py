@@ -140,10 +140,9 @@ def identities(data: bytes):
     line_of = np.repeat(np.arange(len(first)), last - first)
     hashes = _span_hashes(kept, starts, ends - starts)
     chars = ends - starts
-    if (raw > 127).any():
-        begun = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum((raw & 0xC0) != 0x80, out=begun[1:])
-        chars = (begun[ends] - begun[starts]).astype(np.int64)
+    more = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no character
+    if len(more):
+        chars = chars - np.bincount(np.searchsorted(starts, more, side="right") - 1, minlength=len(starts))
     summed = np.concatenate([[0], np.cumsum(chars)])
     letters = summed[last] - summed[first]
     line = _sequence_hashes(hashes, first, last, WORD_BASE)
