@@ -16,14 +16,18 @@ from .line_prints import KEEP, block_keys, identities
 PIECE = 1_000_000
 #: Buckets of up to JOINED lines give all their pairs; larger ones are searched in tiles of so many lines and characters.
 JOINED, TILE, TILE_CHARS = 12, 4_096, 8_000_000
+#: Buckets are dealt by so many of their first bits; keys that a task gathers before it deals them, and of one such part that are held if most are in crowds.
+PART_BITS, GATHERED, HELD = 12, 1 << 19, 1 << 22
 #: Bits of the map that tells at which places lines' texts may be needed; a place is a row's key and a line number.
 BITMAP, SPREAD = 1 << 26, 0x9E3779B1
 #: Bits in which the SimHashes of two lines may differ: eight words in nine are the same at least.
 RADIUS = 15
 #: Words that the quick bound looks ahead.
 AHEAD = 4
-#: Bits of a class of two characters in a row, and classes.
-CLASS_BITS = 9
+#: Characters after which it is looked at whether the bound can still be kept.
+STRIDE = 16
+#: Bits of a class of three characters in a row, and classes.
+CLASS_BITS = 10
 CLASSES = 1 << CLASS_BITS
 #: Pairs of lines whose counts of classes are held at once, and characters that are counted at once.
 COUNTED, COUNTED_CHARS = 1_000, 50_000
@@ -43,8 +47,9 @@ def words_of(lower: bytes) -> str:
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether the edit distance of two normalised lines is at most (1 - similarity) of the longer one.
 
-    What they have in common at either end is cut off. If matching words doesn't show it, the distance is computed
-    bit-parallel, one big-integer step for each character of the shorter line, until the bound can't be kept any more.
+    What they have in common at either end is cut off. If neither matching words nor the longest common subsequence, which bounds the
+    distance on both sides, shows it, the distance is computed bit-parallel, one big-integer step for each character of the shorter
+    line, until the bound can't be kept any more.
     """
     a, b = sorted((a, b), key=len)
     most = int((1 - similarity) * len(b) + 1e-9)
@@ -56,27 +61,53 @@ def similar(a: str, b: str, similarity: float) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if len(b) <= most or _words_bound(a, b, most) <= most:
         return True
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, len(b) - 1
-    plus, minus, distance, left = full, 0, len(b), len(a)
-    for ch in a:
-        match = masks.get(ch, 0)
-        diagonal = (((match & plus) + plus) ^ plus) | match | minus
-        up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
-        distance += (up >> top & 1) - (down >> top & 1)
-        left -= 1
-        if distance - left > most:
+    masks, full = _places(b), (1 << len(b)) - 1
+    # Whatever is not in common costs an edit; at most, all of it is deleted and inserted.
+    common = _subsequence(a, masks, full, len(b) - most)
+    if len(b) - common > most:
+        return False
+    if len(a) + len(b) - 2 * common <= most:
+        return True
+    plus, minus, find = full, 0, masks.get
+    for k in range(0, len(a), STRIDE):
+        for ch in a[k : k + STRIDE]:
+            match = find(ch, 0)
+            diagonal = ((((match & plus) + plus) ^ plus) | match | minus) & full
+            up = (minus | (full ^ (diagonal | plus))) << 1 | 1
+            plus, minus = ((plus & diagonal) << 1 | ~(diagonal | up)) & full, diagonal & up
+        done = min(k + STRIDE, len(a))
+        distance = done + plus.bit_count() - minus.bit_count()
+        if distance - (len(a) - done) > most:
             return False
-        up = (up << 1 | 1) & full
-        down = down << 1 & full
-        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
     return distance <= most
 
 
+def _places(line: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    masks: dict[str, int] = {}
+    bit = 1
+    for ch in line:
+        masks[ch] = masks.get(ch, 0) | bit
+        bit <<= 1
+    return masks
+
+
+def _subsequence(a: str, masks: dict[str, int], full: int, least: int) -> int:
+    """Length of the longest common subsequence of ``a`` and the line whose places of each character ``masks`` has, or less than ``least`` if it is."""
+    open_, length, find = full, full.bit_length(), masks.get
+    for k in range(0, len(a), STRIDE):
+        for ch in a[k : k + STRIDE]:
+            met = open_ & find(ch, 0)
+            open_ = (open_ + met) | (open_ - met)
+        open_ &= full
+        common = length - open_.bit_count()
+        if common + max(0, len(a) - k - STRIDE) < least:
+            return common
+    return length - open_.bit_count()
+
+
 def class_counts(words: list[str]) -> np.ndarray:
-    """How often each class of two characters in a row comes in each line, 65,535 at most."""
+    """How often each class of three characters in a row comes in each line, 65,535 at most."""
     counts = np.zeros((len(words), CLASSES), np.uint16)
     start = 0
     while start < len(words):
@@ -86,17 +117,17 @@ def class_counts(words: list[str]) -> np.ndarray:
             end += 1
         row = np.repeat(np.arange(end - start), [len(w) for w in words[start:end]])
         c = np.frombuffer("".join(words[start:end]).encode("utf-32-le"), np.uint32)
-        kinds = (c[:-1] * np.uint32(0x85EBCA6B) + c[1:] * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS)
-        found = np.bincount((row[:-1] * CLASSES + kinds)[row[:-1] == row[1:]], minlength=(end - start) * CLASSES)
+        kinds = (c[:-2] * np.uint32(0x85EBCA6B) + c[1:-1] * np.uint32(0x9E3779B1) + c[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - CLASS_BITS)
+        found = np.bincount((row[:-2] * CLASSES + kinds)[row[:-2] == row[2:]], minlength=(end - start) * CLASSES)
         counts[start:end] = np.minimum(found, 65_535).reshape(-1, CLASSES)
         start = end
     return counts
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, longer: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether lines with these ``class_counts`` can be within ``most`` edits: an edit changes two pairs of characters at most,
-    so the longer line has all but two for each edit in common with the other. Classes that coincide only let more through."""
-    return np.minimum(a, b).sum(axis=1, dtype=np.int64) >= np.minimum(longer - 1 - 2 * most, 65_535)
+    """Whether lines with these ``class_counts`` can be within ``most`` edits: an edit changes three runs of three characters at most,
+    so the longer line has all but three for each edit in common with the other. Classes that coincide only let more through."""
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64) >= np.minimum(longer - 2 - 3 * most, 65_535)
 
 
 def similar_pairs(us: list[str], vs: list[str], similarity: float) -> list[bool]:
@@ -114,6 +145,9 @@ def _words_bound(a: str, b: str, most: int) -> int:
     """An upper bound of the edit distance: words are matched in order, with a look ahead of AHEAD words where they differ,
     and what lies between matches counts as replaced. Stops once it is over ``most``."""
     x, y = a.split(" "), b.split(" ")
+    known = set(x)
+    if sum([len(w) for w in y if w not in known]) > most:  # these are replaced anyway
+        return most + 1
     n, m, i, j, cost = len(x), len(y), 0, 0, 0
     if n == m:  # mostly words in their places have changed
         cost = sum([max(len(p), len(q)) for p, q in zip(x, y) if p != q])
@@ -177,15 +211,15 @@ class _Seen:
     def new(self, numbers: np.ndarray) -> np.ndarray:
         """The first positions of the numbers that haven't come before."""
         values, first = np.unique(numbers, return_index=True)
-        at = np.minimum(np.searchsorted(self.old, values), max(0, len(self.old) - 1))
-        fresh = self.old[at] != values if len(self.old) else np.ones(len(values), bool)
-        self.old = np.union1d(self.old, values[fresh])
+        at = np.searchsorted(self.old, values)
+        fresh = self.old[np.minimum(at, len(self.old) - 1)] != values if len(self.old) else np.ones(len(values), bool)
+        self.old = np.insert(self.old, at[fresh], values[fresh])
         return np.sort(first[fresh])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line_no, line, check, size, blocks): the lines that have a word. ``blocks`` is null for a line that
-    this task has seen before, so a frequent line is compared about once for each task."""
+    """(doc_id, key, line_no, line, check, size, blocks): the lines that have a word. ``blocks`` has keys of eight bytes and
+    is null for a line that this task has seen before, so a frequent line is compared about once for each task."""
 
     def run(batches):
         seen = _Seen()
@@ -199,12 +233,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
             line = line.view(np.int64)
             first = np.zeros(len(line), bool)
             first[at[seen.new(line[at])]] = True
-            holder, keys = block_keys(found)
-            keys = keys[first[holder]].view(np.int64)
-            holder = holder[first[holder]]
+            holder, keys = block_keys(found, first)
             order = np.argsort(holder, kind="stable")
             many = np.bincount(holder, minlength=len(line))[at]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), mask=np.append(~first[at], False))
+            offsets = np.concatenate([[0], 8 * np.cumsum(many)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(owner),
@@ -213,28 +245,81 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     pa.array(line[at]),
                     pa.array(check.view(np.int64)[at]),
                     pa.array(size[at].astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys[order])),
+                    _binary(offsets, keys[order], first[at]),
                 ],
                 ["doc_id", "key", "line_no", "line", "check", "size", "blocks"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key long, line_no int, line long, check long, size int, blocks array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key long, line_no int, line long, check long, size int, blocks binary")
 
 
-def candidates(lines: DataFrame, similarity: float, joined: int = JOINED) -> DataFrame:
+def _binary(offsets: np.ndarray, values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """The bytes of ``values``, cut at ``offsets``."""
+    mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [mask, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit integers in a column of bytes, and how many each row has; a null has none."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.int64) if data else np.zeros(0, np.int64), np.diff(offsets) // 8
+
+
+def candidates(lines: DataFrame, similarity: float, joined: int = JOINED, most_held: int = HELD) -> DataFrame:
     """(u, v, bucket, size, place_u, place_v): pairs of lines that share a block (v not null), and the members of larger
     buckets (v null), with the bits of places where they stand.
 
-    A partition is read in the order of its buckets, so only the bucket at hand is held, up to ``joined`` lines.
+    The keys of many lines go together: arrays of (bucket, line, spot), dealt by the first PART_BITS bits of the bucket. A part
+    is held as a whole, but for members of crowds if it has over HELD rows.
     """
 
-    def flush(key, line, spot):
-        """Buckets of sorted, distinct (key, line): pairs of the small ones and members of the others."""
+    def deal(batches):
+        held, size = [], 0
+        for batch in batches:
+            keys, many = _numbers(batch.column(0))
+            held.append(np.stack([keys, *(np.repeat(batch.column(c).to_numpy(), many) for c in (1, 2))], axis=1))
+            size += len(keys)
+            if size >= GATHERED:
+                yield dealt(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield dealt(np.concatenate(held))
+
+    def dealt(rows):
+        part = part_of(rows)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), _binary(24 * np.append(starts, len(part)), rows[order])], ["part", "rows"])
+
+    def part_of(rows):
+        return (rows[:, 0] >> 64 - PART_BITS).astype(np.int16)
+
+    def distinct(rows, alone):
+        """(key, line, spot), sorted; of a line's places the least stays. Lines that are ``alone`` in their bucket may be left out."""
+        if not alone:
+            key = rows[:, 0]
+            order = np.argsort(key)
+            same = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+            rows = rows[order[same[1:] | same[:-1]]]
+        key, line, spot = rows[np.lexsort(rows.T[::-1])].T
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        return key[fresh], line[fresh], spot[fresh]
+
+    def members(key):
+        """How many members the bucket of each row has."""
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         many = np.diff(np.append(starts, len(key)))
-        many = np.repeat(many, many)
-        few, size = many <= joined, spot // BITMAP
+        return np.repeat(many, many)
+
+    def flush(rows, crowds):
+        """Pairs of the small buckets and members of the others, also of ``crowds``, some of whose members have been given out."""
+        key, line, spot = distinct(rows, len(crowds) > 0)
+        many = members(key)
+        few, size = (many <= joined) & ~np.isin(key, crowds), spot // BITMAP
         first, second = [], []
         for d in range(1, min(joined, int(many.max(initial=0)))):
             a = np.flatnonzero((key[:-d] == key[d:]) & few[:-d])
@@ -255,33 +340,28 @@ def candidates(lines: DataFrame, similarity: float, joined: int = JOINED) -> Dat
         return pa.RecordBatch.from_arrays(arrays, ["u", "v", "bucket", "size", "place_u", "place_v"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
-        crowd = None  # the key of a bucket whose first members have been given out
+        held, crowds = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            key, line, spot = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            key, line, spot = key[fresh], line[fresh], spot[fresh]
-            if crowd is not None:
-                more = key == crowd
-                new = line[more] != last if more.any() else more[:0]
-                if new.any():
-                    yield crowded(key[more][new], line[more][new], spot[more][new])
-                    last = line[more][-1]
-                key, line, spot = key[~more], line[~more], spot[~more]
-            open_at = np.searchsorted(key, key[-1]) if len(key) else 0
-            if len(key) - open_at > joined:
-                crowd, last, open_at = key[-1], line[-1], len(key)
-            elif len(key):
-                crowd = None
-            yield from flush(key[:open_at], line[:open_at], spot[:open_at])
-            held = [key[open_at:], line[open_at:], spot[open_at:]]
-        yield from flush(*held)
+            rows = np.concatenate([held, _numbers(batch.column(1))[0].reshape(-1, 3)])
+            part = part_of(rows)
+            open_at = int(np.argmax(part == part[-1]))
+            if open_at:
+                yield from flush(rows[:open_at], crowds)
+                crowds = crowds[:0]
+            held = rows[open_at:]
+            if len(held) > most_held:
+                key, line, spot = distinct(held, True)
+                many = (members(key) > joined) | np.isin(key, crowds)
+                yield crowded(key[many], line[many], spot[many])
+                crowds = np.union1d(crowds, key[many])
+                held = np.stack([key[~many], line[~many], spot[~many]], axis=1)
+        if len(held):
+            yield from flush(held, crowds)
 
     # Size and place go as one number. Of a line's places the least comes first in every bucket, so it is asked for once.
     spot = F.col("size").cast("long") * BITMAP + place_bit(F.col("key"), F.col("line_no"))
-    keyed = lines.where("blocks is not null").select("blocks", "line", spot.alias("spot")).select(F.explode("blocks").alias("bucket"), "line", "spot")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "line", "spot").mapInArrow(run, FOUND)
+    keyed = lines.where("blocks is not null").select("blocks", "line", spot.alias("spot")).mapInArrow(deal, "part int, rows binary")
+    return keyed.repartition("part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
 #: What ``candidates`` gives.
@@ -351,7 +431,7 @@ def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             texts = [words_of(some[k]) for k in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(line[at]), pa.array(texts, pa.string()), pa.array(fps.view(np.int64)[at]), pa.array(tells[at])], ["line", "words", "fp", "tells"])
 
-    return docs.select("key", "text").mapInArrow(run, "line long, words string, fp long, tells boolean").dropDuplicates(["line"])
+    return docs.select("key", "text").mapInArrow(run, "line long, words string, fp long, tells boolean").repartition("line").dropDuplicates(["line"])
 
 
 def simhashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +461,7 @@ class Family:
     def grow(self, names: list[int], words: list[str], fps: np.ndarray, tells: np.ndarray) -> list[tuple[int, int]]:
         """Edges that, with those of the crowds before, connect what is linked in this crowd.
 
-        Lines with too few pairs of characters in common aren't compared (see ``may_be_similar``).
+        Lines with too few runs of characters in common aren't compared (see ``may_be_similar``).
         """
         sizes = np.array([len(w) for w in words])
         counts = class_counts(words)
@@ -401,11 +481,16 @@ class Family:
                 near = np.flatnonzero((np.abs(sizes[left] - sizes[i]) <= most) & (~told | (np.bitwise_count(fps[left] ^ fps[i]) <= self.radius)))
                 if len(near):
                     near = near[may_be_similar(counts[left[near]], counts[i], longer[near], most[near])]
-                reached = []
-                for k, j in zip(near.tolist(), left[near].tolist()):
+                reached, places, own = [], None, set(words[i].split(" ")) if len(near) else ()
+                for k, j, size, edits in zip(near.tolist(), left[near].tolist(), longer[near].tolist(), most[near].astype(int).tolist()):
                     pair = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
                     if pair in self.apart:
                         continue
+                    if sum([len(w) for w in words[j].split(" ") if w not in own]) > edits:  # hardly similar: its characters are looked for in this line, whose places are listed once
+                        places = places or _places(words[i])
+                        if size - _subsequence(words[j], places, (1 << len(words[i])) - 1, size - edits) > edits:
+                            self.apart.add(pair)
+                            continue
                     if similar(words[i], words[j], self.similarity):
                         reached.append(k)
                         frontier.append(j)
@@ -457,7 +542,7 @@ def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RA
 
     def of(rows: DataFrame, line: str) -> DataFrame:
         """The texts of a column of lines; they are exchanged by line, in the same way for each column."""
-        joined = rows.join(texts, F.col(line) == F.col("line"))
+        joined = rows.hint("shuffle_hash").join(texts, F.col(line) == F.col("line"))
         return joined.select(*rows.columns, *(F.col(c).alias(f"{c}_{line}") for c in ("words", "fp", "tells")))
 
     near = (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius) | ~(F.col("tells_u") & F.col("tells_v"))
@@ -481,7 +566,7 @@ def links(docs: DataFrame, lines: DataFrame, similarity: float, radius: int = RA
             u, v = np.array(edges, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    members = dealt.join(texts, "line").select("least", "pair", "bucket", "line", "words", "fp", "tells")
+    members = dealt.hint("shuffle_hash").join(texts, "line").select("least", "pair", "bucket", "line", "words", "fp", "tells")
     grown = members.repartition("least", "pair").sortWithinPartitions("least", "pair", "bucket").mapInArrow(grow, "u long, v long")
     edges = materialise(checked.unionAll(grown), "line-edges")
     discard(found)
@@ -519,7 +604,7 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, c
     grouped = materialise(grouped.select("line", "root", "first", "n"), "line-groups")
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").select("root", "stays")
     repeated = grouped.select("line", "root").join(stays, "root").select("line", "stays")
-    removed = lines.select("doc_id", "key", "line_no", "line").join(repeated, "line").where(place != F.col("stays"))
+    removed = lines.select("doc_id", "key", "line_no", "line").join(repeated.hint("shuffle_hash"), "line").where(place != F.col("stays"))
     removed = materialise(removed.groupBy("key").agg(F.collect_set("line_no").alias("removed")), "lines-removed")
     for done in (lines, roots, grouped):
         discard(done)
@@ -530,5 +615,5 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, radius: int = RADIUS, c
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.col("parts")[i]), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long")
     n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
-    found = docs.join(removed, "key", "left").select(*kept, "text", "removed", split.alias("parts"))
+    found = docs.join(removed.hint("shuffle_hash"), "key", "left").select(*kept, "text", "removed", split.alias("parts"))
     return found.select(*kept, text.alias("text"), n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0).cast("long")).alias("n_removed"))

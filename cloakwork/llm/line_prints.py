@@ -174,12 +174,13 @@ def _unspaced(parts: tuple) -> np.ndarray:
     return 2 * (total[last] - total[first]) > letters
 
 
-def block_keys(parts: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, key) of every block of every line that ``identities`` has found."""
+def block_keys(parts: tuple, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, key) of every block of every line that ``identities`` has found, or of those in ``only``."""
     kept, starts, ends, _, _, _, line_of, hashes, letters = parts
     unspaced = _unspaced(parts)
-    by_word = (letters >= WORDS_FROM) & ~unspaced
-    by_gram = (letters >= LEAST_CHARS) & ((letters < GRAMS_TO) | unspaced)
+    asked = np.ones(len(letters), bool) if only is None else only
+    by_word = asked & (letters >= WORDS_FROM) & ~unspaced
+    by_gram = asked & (letters >= LEAST_CHARS) & ((letters < GRAMS_TO) | unspaced)
 
     dealt = (ends - starts >= SHORTEST) & (ends - starts <= LONGEST) & by_word[line_of]
     words, word_line = hashes[dealt], line_of[dealt]
